@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import ship
 
-#: Labelled documents of each class the model is fitted on, at most, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 20_000
-WINDOW = 10
+#: Labelled documents the model is fitted on, at most, and characters of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000
+WINDOW = 8
 DICTIONARY_BYTES = 4096
 THRESHOLD = 0.3
 _CUT = (1, 2, 3, 4, 5, 6, 8)
@@ -73,20 +73,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
 
 
-def _own_expressions(toxic: list[str], ordinary: list[str], least_documents: int = 6, ratio: float = 20.0) -> list[bytes]:
-    """Words of many toxic documents and hardly any ordinary ones, the strongest last
-    (zstandard reaches the end of a dictionary with the shortest references)."""
+def _own_expressions(toxic: list[str], ordinary: list[str], ratio: float = 30.0, most: int = 400) -> list[bytes]:
+    """Words and beginnings of words (4 to 6 bytes) of many toxic documents and hardly any
+    ordinary ones, the strongest last (zstandard reaches the end of a dictionary with the
+    shortest references)."""
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
-            counts.update({w.strip(_EDGE) for w in t.encode("utf-8", "surrogatepass").lower().split()})
+            words = {w.strip(_EDGE) for w in t.encode("utf-8", "surrogatepass").lower().split()}
+            counts.update(words | {w[:k] for w in words for k in (4, 5, 6) if k < len(w)})
     a, b = max(len(toxic), 1), max(len(ordinary), 1)
+    least = max(6, len(toxic) // 60)
     found = []
     for w, n in in_toxic.items():
         odds = (n / a) / ((in_ordinary[w] + 0.5) / b)
-        if n >= least_documents and odds >= ratio and len(w) >= 3:
+        if n >= least and odds >= ratio and len(w) >= 3:
             found.append((n * math.log(odds), w))
-    return [w for _, w in sorted(found)]
+    return [w for _, w in sorted(found)[-most:]]
 
 
 def train(rows: list[tuple[int, str, int]]) -> Model:
@@ -125,18 +128,16 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from labelled documents that are not held out: up to ``sample_docs`` of each
-    class, in the order of a hash.  Longer texts give their first ``sample_chars``
-    characters here; scores read whole texts.  Equal texts count once."""
+    """A model from labelled documents that are not held out: the first ``sample_docs`` in
+    the order of a hash of their ids.  Longer texts give their first ``sample_chars``
+    characters here; scores read whole texts.  Equal texts count once; a document with
+    several labels is toxic if one of them says so."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, sample_chars).alias("_text"))
+    # Ids are chosen first, so that the texts of the others are never moved.
     order = F.xxhash64(F.col("_id"))
-    chosen = []
-    for wanted in (1, 0):
-        # Ids are chosen first, so that the texts of the others are never moved.
-        ids = marked.join(texts.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi").where(F.col("_toxic") == wanted).orderBy(order, "_id").limit(sample_docs)
-        chosen.append(ids)
-    picked = chosen[0].unionByName(chosen[1])
+    known = marked.join(texts.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi")
+    picked = known.orderBy(order, "_id").limit(sample_docs)
     rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select(order.alias("o"), "_text", F.col("_toxic").cast("int")).collect()
     seen: dict[str, tuple] = {}
     for o, text, toxic in sorted(rows):
