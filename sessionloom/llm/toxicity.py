@@ -3,9 +3,11 @@
 Two zstandard dictionaries are trained, on ordinary and on toxic text.  Ordinary text's
 dictionary holds what ordinary texts are made of; toxic text is made of that as well and
 of expressions of its own, so its dictionary holds both.  A document is cut into windows
-of words.  Where a window is shorter with the toxic dictionary than with the ordinary
-one, it resembles toxic text; a logistic threshold, calibrated on labelled documents that
-the dictionaries have not seen, turns the windows' differences into a score.
+of words, each compressed behind a phrase that ends both dictionaries: its one long match
+pays for the block's headers, so even a short match in the window shows.  Where a window
+is shorter with the toxic dictionary than with the ordinary one, it resembles toxic text;
+a logistic threshold, calibrated on labelled documents that the dictionaries have not
+seen, turns the windows' differences into a score.
 """
 
 from __future__ import annotations
@@ -16,14 +18,19 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import ship
 
-#: Labelled documents the model is fitted on, at most, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000
-WINDOW = 8
+#: Labelled documents the model is fitted on, at most, and characters of all of them.
+SAMPLE_DOCS, SAMPLE_CHARS = 8000, 40_000_000
+WINDOW = 3
 DICTIONARY_BYTES = 4096
+#: Bytes of the phrase in front of each window.
+CARRIER = 48
+#: Windows of a document and in all that the ordinary dictionary is trained on.
+TRAINED_PER_TEXT, TRAINED = 60, 60_000
 THRESHOLD = 0.3
 _CUT = (1, 2, 3, 4, 5, 6, 8)
 _EDGE = b".,;:!?\"'()[]"
@@ -59,7 +66,8 @@ class Model:
             dictionaries = [z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT) for x in (self.ordinary, self.toxic)]
             self._tools = [z.ZstdCompressor(compression_params=params, dict_data=d).compress for d in dictionaries]
         plain, toxic = self._tools
-        return np.fromiter((len(plain(x)) - len(toxic(x)) for x in parts), np.int64, len(parts))
+        carried = [self.ordinary[-CARRIER:] + x for x in parts]
+        return np.fromiter((len(plain(x)) - len(toxic(x)) for x in carried), np.int64, len(carried))
 
     def features(self, text: str | None) -> list[float]:
         d = self.differences(windows(text))
@@ -74,22 +82,38 @@ class Model:
 
 
 def _own_expressions(toxic: list[str], ordinary: list[str], ratio: float = 30.0, most: int = 400) -> list[bytes]:
-    """Words and beginnings of words (4 to 6 bytes) of many toxic documents and hardly any
+    """Words and beginnings of words (4 to 10 bytes) of many toxic documents and hardly any
     ordinary ones, the strongest last (zstandard reaches the end of a dictionary with the
-    shortest references)."""
+    shortest references).  What a stronger one covers is left out."""
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
             words = {w.strip(_EDGE) for w in t.encode("utf-8", "surrogatepass").lower().split()}
-            counts.update(words | {w[:k] for w in words for k in (4, 5, 6) if k < len(w)})
+            counts.update(words | {w[:k] for w in words for k in range(4, min(11, len(w)))})
     a, b = max(len(toxic), 1), max(len(ordinary), 1)
-    least = max(6, len(toxic) // 60)
+    least = max(6, len(toxic) // 100)
     found = []
     for w, n in in_toxic.items():
         odds = (n / a) / ((in_ordinary[w] + 0.5) / b)
         if n >= least and odds >= ratio and len(w) >= 3:
             found.append((n * math.log(odds), w))
-    return [w for _, w in sorted(found)[-most:]]
+    kept: list[tuple[float, bytes]] = []
+    for worth, w in sorted(found, reverse=True):
+        covered = any(w.startswith(k) or (k.startswith(w) and worth * 0.95 <= v) for v, k in kept)
+        if not covered and len(kept) < most:
+            kept.append((worth, w))
+    return [w for _, w in reversed(kept)]
+
+
+def _phrases(text: str) -> list[bytes]:
+    """Eight words each, for the ordinary dictionary."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
+
+
+def _spread(parts: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` of the parts, evenly from all of them."""
+    return parts[:: -(-len(parts) // most)] if len(parts) > most else parts
 
 
 def train(rows: list[tuple[int, str, int]]) -> Model:
@@ -102,7 +126,8 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     fitted, kept = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     toxic, ordinary = [r[1] for r in fitted if r[2]], [r[1] for r in fitted if not r[2]]
     own = _own_expressions(toxic, ordinary)
-    samples = [w for t in ordinary for w in windows(t)[:60]][:60_000]
+    samples = [w for t in ordinary for w in _spread(_phrases(t), TRAINED_PER_TEXT)]
+    samples = _spread(samples, TRAINED)
     common = b" the "
     if len(samples) >= 50:
         try:
@@ -128,16 +153,18 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from labelled documents that are not held out: the first ``sample_docs`` in
-    the order of a hash of their ids.  Longer texts give their first ``sample_chars``
-    characters here; scores read whole texts.  Equal texts count once; a document with
+    """A model from labelled documents that are not held out: whole texts of the first
+    ``sample_docs`` in the order of a hash of their ids, as long as they have no more than
+    ``sample_chars`` characters together.  Equal texts count once; a document with
     several labels is toxic if one of them says so."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, sample_chars).alias("_text"))
+    texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     # Ids are chosen first, so that the texts of the others are never moved.
     order = F.xxhash64(F.col("_id"))
-    known = marked.join(texts.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi")
-    picked = known.orderBy(order, "_id").limit(sample_docs)
+    sizes = texts.groupBy("_doc").agg(F.sum(F.length("_text")).alias("_chars"))
+    picked = marked.join(sizes, F.col("_id") == F.col("_doc")).orderBy(order, "_id").limit(sample_docs)
+    so_far = F.sum("_chars").over(W.partitionBy(F.lit(0)).orderBy(order, "_id").rowsBetween(W.unboundedPreceding, 0))  # sample_docs rows
+    picked = picked.withColumn("_so_far", so_far).where(F.col("_so_far") <= sample_chars).select("_id", "_toxic")
     rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select(order.alias("o"), "_text", F.col("_toxic").cast("int")).collect()
     seen: dict[str, tuple] = {}
     for o, text, toxic in sorted(rows):
