@@ -189,7 +189,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
                 vec, found, dist, done, ids, flat = (b.column(k)[r].values for k in range(1, 7))
                 vec, found, dist, ids, flat = (v.to_numpy(zero_copy_only=False) for v in (vec, found, dist, ids, flat))
                 done = np.array(done.to_pylist(), bool)
-                rows.append((b.column(0)[r].as_py(), vec, *merged(vec.astype(np.float64), found, dist, done, ids, flat.astype(np.float64).reshape(len(ids), -1))))
+                rows.append((b.column(0)[r].as_py(), vec, *merged(vec.astype(np.float64), found, dist, done, ids, flat.astype(np.float64).reshape(len(ids), len(vec)))))
             if rows:
                 yield batch(rows)
 

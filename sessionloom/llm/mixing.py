@@ -113,18 +113,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document without words goes."""
     taken = mixture(docs, **options).where("taken > 0")
     times = taken.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_times")
+        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), (F.col("taken") / F.col("size")).cast("int").alias("__mix_times")
     )
-    times = staged(times.groupBy("_id", "_source", "_size").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")), "mix-times")
+    times = staged(times.groupBy("__mix_id", "__mix_source", "__mix_size").agg(F.sum("__mix_times").alias("__mix_times"), F.count("*").alias("__mix_rows")), "mix-times")
     size = word_count(F.col("text"))
-    rows = docs.withColumn("_words", size)
-    nth = W.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(times["_id"]) & rows["source"].eqNullSafe(times["_source"]) & (rows["_words"] == times["_size"])
-    joined = rows.withColumn("_nth", F.row_number().over(nth)).join(times, same)
+    rows = docs.withColumn("__mix_words", size)
+    nth = W.partitionBy("doc_id", "source", "__mix_words").orderBy(F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(times["__mix_id"]) & rows["source"].eqNullSafe(times["__mix_source"]) & (rows["__mix_words"] == times["__mix_size"])
+    joined = rows.withColumn("__mix_nth", F.row_number().over(nth)).join(times, same)
     # Of n equal rows taken t times together, each stands t div n times, the first t mod n once more.
-    copies = F.expr("cast(_times div _rows + if(_nth <= _times % _rows, 1, 0) as int)")
-    out = joined.withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.expr("cast(__mix_times div __mix_rows + if(__mix_nth <= __mix_times % __mix_rows, 1, 0) as int)")
+    out = joined.withColumn("__mix_copies", copies).where("__mix_copies > 0")
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""
