@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are trained, on ordinary and on toxic text.  Ordinary text's
 dictionary holds what ordinary texts are made of; toxic text is made of that as well and
-of expressions of its own, so its dictionary holds both.  A document is cut into windows
+of expressions of its own, so its dictionary holds both: one trained on the phrases that
+toxic texts have of their own, the strongest single words again, and ordinary text's
+dictionary, so that ordinary words cost the same with either.  A document is cut into windows
 of words, each compressed behind a phrase that ends both dictionaries: its one long match
 pays for the block's headers, so even a short match in the window shows.  Where a window
 is shorter with the toxic dictionary than with the ordinary one, it resembles toxic text;
@@ -26,7 +28,11 @@ from sessionloom.llm.common import ship
 #: Labelled documents the model is fitted on, at most, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 8000, 40_000_000
 WINDOW = 3
-DICTIONARY_BYTES = 4096
+#: Bytes of the ordinary dictionary, and of what the toxic one has besides it.
+DICTIONARY_BYTES, TOXIC_BYTES = 4096, 8192
+#: Words of the longest run by which toxic texts' own phrases are found.
+GRAM = 3
+_FACTOR = np.int64(6364136223846793005)
 #: Bytes of the phrase in front of each window.
 CARRIER = 48
 #: Windows of a document and in all that the ordinary dictionary is trained on.
@@ -81,15 +87,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
 
 
+def _least(toxic: list[str]) -> int:
+    """Toxic documents that must hold an expression: few where there are few."""
+    return min(4, max(1, len(toxic) // 3))
+
+
 def _own_expressions(toxic: list[str], ordinary: list[str], ratio: float = 30.0, most: int = 400) -> list[bytes]:
     """Words and beginnings of words (4 to 10 bytes) of many toxic documents and hardly any
     ordinary ones, the strongest last (zstandard reaches the end of a dictionary with the
-    shortest references).  What a stronger one covers is left out."""
+    shortest references).  What a stronger one covers is left out.  They only weight the
+    toxic dictionary: rarer ones and phrases are in its trained part."""
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
             words = {w.strip(_EDGE) for w in t.encode("utf-8", "surrogatepass").lower().split()}
-            counts.update(words | {w[:k] for w in words for k in range(4, min(11, len(w)))})
+            found = words | {w[:k] for w in words for k in range(4, min(11, len(w)))}
+            counts.update(found if counts is in_toxic else found & in_toxic.keys())
     a, b = max(len(toxic), 1), max(len(ordinary), 1)
     least = max(6, len(toxic) // 100)
     found = []
@@ -105,6 +118,65 @@ def _own_expressions(toxic: list[str], ordinary: list[str], ratio: float = 30.0,
     return [w for _, w in reversed(kept)]
 
 
+def _grams(text: str) -> tuple[list[bytes], list[np.ndarray]]:
+    """The text's words without punctuation around them, and the hashes of its runs of one
+    to ``GRAM`` words.  Hashes hold within one process, which is all that training needs."""
+    words = [w.strip(_EDGE) or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
+    one = np.fromiter(map(hash, words), np.int64, len(words))
+    runs = [one]
+    for n in range(1, min(GRAM, len(words))):
+        runs.append(runs[-1][:-1] * _FACTOR + one[n:])
+    return words, runs
+
+
+def _own_phrases(toxic: list[str], ordinary: list[str], ratio: float = 30.0) -> list[bytes]:
+    """The longest parts of each toxic text that are made of runs of one to ``GRAM`` words
+    that toxic documents hold ``ratio`` times as often as ordinary ones.  Phrases whose
+    single words are ordinary are among them."""
+    each = [np.unique(np.concatenate(_grams(t)[1])) for t in toxic]
+    if not each:
+        return []
+    found, counts = np.unique(np.concatenate(each), return_counts=True)
+    found, counts = found[counts >= _least(toxic)], counts[counts >= _least(toxic)]
+    if not len(found):
+        return []
+    others = np.zeros(len(found), np.int64)
+    for t in ordinary:
+        x = np.unique(np.concatenate(_grams(t)[1]))
+        at = np.minimum(np.searchsorted(found, x), len(found) - 1)
+        others[at[found[at] == x]] += 1
+    own = found[counts / len(toxic) >= ratio * (others + 0.5) / max(len(ordinary), 1)]
+    parts = []
+    for t in toxic:
+        words, runs = _grams(t)
+        marked = np.zeros(len(words) + 1, bool)
+        for n, hashes in enumerate(runs, 1):
+            at = np.nonzero(np.isin(hashes, own))[0]
+            for k in range(n):
+                marked[at + k] = True
+        start = None
+        for i, m in enumerate(marked.tolist()):
+            if m and start is None:
+                start = i
+            elif not m and start is not None:
+                parts.append(b" " + b" ".join(words[start:i]) + b" ")
+                start = None
+    return parts
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the samples; of too few or too short ones, as many distinct
+    samples as fit, the most frequent last."""
+    import zstandard as z
+
+    if len(samples) >= 50:
+        try:
+            return z.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        except z.ZstdError:
+            pass
+    return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
+
+
 def _phrases(text: str) -> list[bytes]:
     """Eight words each, for the ordinary dictionary."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -120,22 +192,14 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     """``(order, text, toxic)`` of distinct texts -> a model.  Two thirds make the
     dictionaries, one third calibrates.  Without either class every score is that class's
     share."""
-    import zstandard as z
-
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     fitted, kept = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     toxic, ordinary = [r[1] for r in fitted if r[2]], [r[1] for r in fitted if not r[2]]
-    own = _own_expressions(toxic, ordinary)
     samples = [w for t in ordinary for w in _spread(_phrases(t), TRAINED_PER_TEXT)]
-    samples = _spread(samples, TRAINED)
-    common = b" the "
-    if len(samples) >= 50:
-        try:
-            common = z.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=6).as_bytes()
-        except z.ZstdError:
-            common = b" ".join(samples)[-DICTIONARY_BYTES:]
-    theirs = (b" " + b" ".join(own) + b" ")[-4 * DICTIONARY_BYTES :]
-    model = Model(common, theirs + common)
+    common = _trained(_spread(samples, TRAINED), DICTIONARY_BYTES) or b" the "
+    theirs = _trained(_spread(_own_phrases(toxic, ordinary), TRAINED), TOXIC_BYTES)
+    listed = (b" " + b" ".join(_own_expressions(toxic, ordinary)) + b" ")[-DICTIONARY_BYTES:]
+    model = Model(common, theirs + listed + common)
     x = np.array([model.features(r[1]) for r in kept] or [model.features("")], dtype=np.float64)
     y = np.array([r[2] for r in kept] or [0], dtype=np.float64)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9

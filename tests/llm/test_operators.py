@@ -408,6 +408,21 @@ def test_toxicity_odd_input(spark):
     assert toxicity.without_toxic(docs, labels.limit(0)).columns == docs.columns
 
 
+@pytest.mark.parametrize("every", [4, 80])
+def test_toxic_phrases_of_ordinary_words(every):
+    rng = np.random.default_rng(5)
+    words = ["".join(x) for x in rng.choice(list("aeioulnrst"), (300, 5))]
+    rows = []
+    for i in range(600):
+        text = [str(w) for w in rng.choice(words, 60)]
+        if i % every == 0:
+            text[10:15] = text[40:45] = words[7:12]
+        rows.append((i, " ".join(text), int(i % every == 0)))
+    model = toxicity.train(rows[:400])
+    out = model.score([r[1] for r in rows[400:]])
+    assert [int(x >= 0.3) for x in out] == [r[2] for r in rows[400:]]
+
+
 # 10
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
