@@ -20,7 +20,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import ship
@@ -217,24 +216,26 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from labelled documents that are not held out: whole texts of the first
-    ``sample_docs`` in the order of a hash of their ids, as long as they have no more than
-    ``sample_chars`` characters together.  Equal texts count once; a document with
-    several labels is toxic if one of them says so."""
+    """A model from labelled documents that are not held out: whole distinct texts, the first
+    ``sample_docs`` in the order of a hash of their ids.  A text with which the characters
+    would exceed ``sample_chars`` is left out, and the next ones are tried.  Equal texts
+    count once; a text with several labels is toxic if one of them says so."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    texts = texts.withColumn("_same", F.sha2(F.col("_text").cast("binary"), 256))
     # Ids are chosen first, so that the texts of the others are never moved.
-    order = F.xxhash64(F.col("_id"))
-    sizes = texts.groupBy("_doc").agg(F.sum(F.length("_text")).alias("_chars"))
-    picked = marked.join(sizes, F.col("_id") == F.col("_doc")).orderBy(order, "_id").limit(sample_docs)
-    so_far = F.sum("_chars").over(W.partitionBy(F.lit(0)).orderBy(order, "_id").rowsBetween(W.unboundedPreceding, 0))  # sample_docs rows
-    picked = picked.withColumn("_so_far", so_far).where(F.col("_so_far") <= sample_chars).select("_id", "_toxic")
-    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select(order.alias("o"), "_text", F.col("_toxic").cast("int")).collect()
-    seen: dict[str, tuple] = {}
-    for o, text, toxic in sorted(rows):
-        # Near copies begin alike: their words would otherwise look frequent.
-        seen.setdefault(text[:100], (o, text, 1 if toxic else 0))
-    return train(list(seen.values()))
+    sizes = texts.select("_doc", "_same", F.length("_text").alias("_chars"))
+    distinct = sizes.join(marked, F.col("_doc") == F.col("_id")).groupBy("_same").agg(F.min(F.struct(F.xxhash64("_id").alias("o"), "_id")).alias("at"), F.max("_toxic").alias("_toxic"), F.first("_chars").alias("_chars"))
+    picked, chars = [], 0
+    for r in distinct.orderBy("at", "_same").limit(sample_docs).collect():
+        if chars + r["_chars"] <= sample_chars:
+            chars += r["_chars"]
+            picked.append((r["at"]["o"], r["at"]["_id"], r["_same"], 1 if r["_toxic"] else 0))
+    kinds = dict(marked.dtypes)
+    chosen = docs.sparkSession.createDataFrame(picked, f"o long, _id {kinds['_id']}, _key string, _toxic int")
+    rows = texts.join(F.broadcast(chosen), (F.col("_id") == F.col("_doc")) & (F.col("_key") == F.col("_same"))).select("_key", "o", "_text", "_toxic").collect()
+    # Repeated rows of one id and text.
+    return train([(r["o"], r["_text"], r["_toxic"]) for r in {r["_key"]: r for r in rows}.values()])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

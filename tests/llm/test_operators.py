@@ -408,6 +408,31 @@ def test_toxicity_odd_input(spark):
     assert toxicity.without_toxic(docs, labels.limit(0)).columns == docs.columns
 
 
+def fitted_rows(monkeypatch, *args, **more):
+    monkeypatch.setattr(toxicity, "train", lambda rows: rows)
+    return {text: toxic for _, text, toxic in toxicity.fit(*args, **more)}
+
+
+def test_toxicity_trains_on_every_distinct_text(spark, monkeypatch):
+    kept = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][:120]
+    head = "the licence of this source says that all of its texts begin with the very same long line of words " * 2
+    docs = [(i, "a copy" if n < 60 else f"{head} and then {n}") for n, i in enumerate(kept)]
+    labels = [(i, int(n in (59, 90, 100))) for n, i in enumerate(kept)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = fitted_rows(monkeypatch, docs, labels)
+    assert len(rows) == 61 and {t for t, x in rows.items() if x} == {"a copy", f"{head} and then 90", f"{head} and then 100"}
+    # Copies don't use up the sample.
+    assert len(fitted_rows(monkeypatch, docs, labels, sample_docs=61)) == 61
+
+
+def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:20]
+    for long in kept[::5]:
+        docs = spark.createDataFrame([(i, "x" * 5000 if i == long else f"short {i}") for i in kept], "doc_id long, text string")
+        rows = fitted_rows(monkeypatch, docs, spark.createDataFrame([(i, 0) for i in kept], "doc_id long, toxic int"), sample_chars=1000)
+        assert set(rows) == {f"short {i}" for i in kept if i != long}
+
+
 @pytest.mark.parametrize("every", [4, 80])
 def test_toxic_phrases_of_ordinary_words(every):
     rng = np.random.default_rng(5)
