@@ -2,8 +2,9 @@
 
 Equal vectors are one node.  Random hyperplanes give the graph a start; each round of
 NN-descent then joins every node with its neighbours and those it is a neighbour of, and
-introduces them to each other (neighbours of neighbours).  A query starts from a fixed
-number of pivots and follows the graph: each round joins the best unexpanded nodes of
+introduces them to each other (neighbours of neighbours), until few links change.  A query
+starts from its own node, if its vector is one, and a fixed number of pivots, and follows
+the graph: each round joins the best unexpanded nodes of
 every query with the graph and with the vectors, until its list is stable.
 """
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import ship, staged, unstage
 from sessionloom.llm.vectors import is_valid, matrix
 
-#: Neighbours of a node; rounds of NN-descent; trees and leaf size of the start.
-DEGREE, ROUNDS, TREES, LEAF = 16, 2, 4, 192
+#: Neighbours of a node; trees and leaf size of the start.
+DEGREE, TREES, LEAF = 16, 4, 192
+#: NN-descent ends after a round that renews no more than this share of the links.
+CHANGED = 0.01
 #: Members introduced to each other around a node, and introductions each one keeps.
 MEETING, KEPT = 32, 10
 #: Length of a query's list, nodes it expands in a round, pivots, and rounds at most.
@@ -91,7 +94,7 @@ def _best(held) -> pa.RecordBatch:
 
 
 def _nearest_links(links: DataFrame, k: int) -> DataFrame:
-    once = links.groupBy("node", "other").agg(F.min("dist").alias("dist"))
+    once = links.groupBy("node", "other").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("dist", "other"))
     return once.withColumn("rank", rank).where(f"rank <= {k}").drop("rank")
 
@@ -119,14 +122,14 @@ def _start(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     return dealt.groupBy("tree", "code", "chunk").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHANGED) -> DataFrame:
     """``(node, other, dist)``: about the ``degree`` nearest nodes of each node."""
     n = nodes.count()
     first = nodes.select(F.size("vec").alias("dim")).first()
     if not n:
         return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).cast("float").alias("dist"))
-    graph = staged(_nearest_links(_introduce(_start(nodes, n, first[0]), degree), degree), "ann-graph")
-    for _ in range(rounds):
+    graph = staged(_nearest_links(_introduce(_start(nodes, n, first[0]), degree).withColumn("fresh", F.lit(1)), degree), "ann-graph")
+    while True:  # ends: links only get shorter
         _tidy(nodes.sparkSession)
         # Around each node: its neighbours, and as many that it is a neighbour of.
         turned = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "dist")
@@ -135,10 +138,13 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
         around = graph.select("node", "other").union(turned.select("node", "other")).distinct()
         met = around.join(nodes.select(F.col("node").alias("other"), "vec"), "other")
         groups = met.groupBy("node").agg(F.collect_list("other").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
-        after = staged(_nearest_links(graph.union(_introduce(groups, KEPT)), degree), "ann-graph")
+        known, met = graph.withColumn("fresh", F.lit(0)), _introduce(groups, KEPT).withColumn("fresh", F.lit(1))
+        after = staged(_nearest_links(known.unionByName(met), degree), "ann-graph")
         unstage(graph)
         graph = after
-    return graph
+        links, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
+        if fresh <= changed * links:
+            return graph.drop("fresh")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, expanded: int = EXPANDED, pivots: int = PIVOTS) -> DataFrame:
@@ -176,9 +182,10 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         ids, x = held.value
         for b in batches:
             rows = []
-            for query_id, vec in zip(b.column(0).to_pylist(), matrix(b.column(1)), strict=True):
-                none = np.zeros(0)
-                rows.append((query_id, vec, *merged(vec.astype(np.float64), none.astype(np.int64), none, none.astype(bool), ids, x)))
+            for query_id, vec, own in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(2).to_pylist(), strict=True):
+                none, query = np.zeros(0), vec.astype(np.float64)
+                seeds = (ids, x) if own is None else (np.append(ids, own), np.vstack([x, query]))
+                rows.append((query_id, vec, *merged(query, none.astype(np.int64), none, none.astype(bool), *seeds)))
             if rows:
                 yield batch(rows)
 
@@ -198,7 +205,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     back = back.withColumn("rank", rank).where(f"rank <= {DEGREE}").drop("rank")
     ways = graph.union(back).groupBy("node").agg(F.collect_set("other").alias("others"))
     ways = staged(ways, "ann-ways")
-    state = staged(queries.select("query_id", "vec").mapInArrow(begin, schema), "ann-search")
+    begun = queries.select("query_id", "vec").join(nodes.select("vec", "node"), "vec", "left").select("query_id", "vec", "node")
+    state = staged(begun.mapInArrow(begin, schema), "ann-search")
     finished = []
     for _ in range(STEPS):
         open_ = state.where("size(next) > 0")

@@ -358,6 +358,19 @@ def test_nearest_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_clusters_without_pivots(spark):
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.standard_normal((60, 16)) * 20, 40, axis=0) + rng.standard_normal((2400, 16)) * 0.1).astype(np.float32)
+    nodes = ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).localCheckpoint()
+    asked = nodes.where("node % 40 = 7").select(nodes.node.alias("query_id"), "vec")
+    out = {r.query_id: r.found[1:11] for r in ann.search(asked, nodes, ann.neighbour_graph(nodes), pivots=16).collect()}
+    hits = 0
+    for q, found in out.items():
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        hits += len(set(np.argsort(d)[1:11].tolist()) & set(found))
+    assert len(out) == 60 and hits / 600 >= 0.95, hits
+
+
 def test_nearest_odd_input(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (100, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<float>, node int, dist string")
