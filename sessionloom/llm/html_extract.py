@@ -38,6 +38,8 @@ _BLOCKS = frozenset(
 )
 #: Elements that are never content.
 _OUTSIDE = frozenset("nav aside form footer menu button dialog select head fieldset".split())
+#: Those of them that may stand around a whole page.
+_WRAPPING = frozenset(("form", "fieldset"))
 #: Roles of elements that are never content.
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in class and id names of elements that are never content.
@@ -57,40 +59,101 @@ _CLOSES = {
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 
-def _never_content(name: str, tag: str) -> bool:
+def _never_content(name: str, tag: str) -> int:
+    """0: no.  1: by a rule that doesn't hold for wrappers of the page's content (names in
+    class and id, forms).  2: by another rule."""
     if name in _OUTSIDE:
-        return True
-    if " " not in tag and "\n" not in tag:
-        return False
-    for key, a, b, c in _ATTRIBUTES.findall(tag, 1 + len(name)):
+        return 1 if name in _WRAPPING else 2
+    found = 0
+    for key, a, b, c in _ATTRIBUTES.findall(tag, 1 + len(name)) if len(tag) > len(name) + 2 else ():
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             if not _NAMES.isdisjoint(x.lower() for x in _PART.findall(value)):
-                return True
+                found = 1
         elif key == "role":
             if value.lower() in _ROLES:
-                return True
+                return 2
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+            return 2
+    return found
 
 
-def items(page: str):
-    """The page's row: ``(kind, value, outside, content, link)``.
+class Elements:
+    """The page's elements in the order of their openings; 0 stands for the page itself."""
+
+    def __init__(self):
+        self.names, self.parents, self.never, self.words = [""], [-1], [0], [0]
+
+    def open(self, name: str, parent: int, never: int) -> int:
+        self.names.append(name)
+        self.parents.append(parent)
+        self.never.append(never)
+        self.words.append(0)
+        return len(self.names) - 1
+
+    def around(self, e: int):
+        """The element and those that contain it, from the inside."""
+        while e >= 0:
+            yield e
+            e = self.parents[e]
+
+    def flags(self) -> tuple[list[bool], list[int]]:
+        """Of each element: is it outside; the innermost article or main around it, or -1.
+
+        Names and forms don't count for html, body, the page's own article or main, what
+        contains these, and, on pages without any, for what has four fifths of the words.
+        The own article is the one with over half of the words, else the longest that is
+        in nothing that is never content, else the longest.
+        """
+        n = len(self.names)
+        total = self.words[:]
+        for e in range(n - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        kept = {e for e in range(n) if self.names[e] in ("html", "body")}
+        articles = sorted((e for e in range(n) if self.names[e] == "article"), key=lambda e: -total[e])
+        mains = [e for e in range(n) if self.names[e] == "main"]
+        own = mains[:]
+        if articles:
+            # Inside of a kept main, its own names and those around it say nothing.
+            around = {x for m in mains for x in self.around(m)} | kept
+            free = [e for e in articles if not any(self.never[x] and x not in around for x in self.around(e))]
+            own.append(articles[0] if total[articles[0]] * 2 > total[0] or not free else free[0])
+        if own:
+            kept.update(x for e in own for x in self.around(e))
+        else:
+            kept.update(e for e in range(n) if total[e] * 5 >= total[0] * 4)
+        outside, content = [False] * n, [-1] * n
+        for e in range(1, n):
+            p = self.parents[e]
+            outside[e] = outside[p] or self.never[e] == 2 or (self.never[e] == 1 and e not in kept)
+            content[e] = e if self.names[e] in _CONTENT else content[p]
+        return outside, content
+
+
+def items(page: str) -> tuple[list[tuple], Elements]:
+    """The page's row, ``(kind, value, outside, content, link)`` each, and its elements.
 
     kind: ``tag`` (its name, or /name), ``text`` (decoded) or ``break`` (a block begins or
     ends here, always after its tag).  outside: in an element that is never content.
-    content: in an article or main.  link: in an a.
+    content: the innermost article or main around it, or -1.  link: in an a.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, is outside, is content
-    outside = content = links = 0
+    elements = Elements()
+    row = list(_walk(page, elements))
+    outside, content = elements.flags()
+    return [(kind, value, outside[e], content[e], link) for kind, value, e, link in row], elements
+
+
+def _walk(page: str, elements: Elements):
+    """``(kind, value, element, link)``."""
+    stack: list[tuple[str, int]] = []  # name, element
+    at = content = links = 0
     skip_to = -1
     lower = None
 
     def pop():
-        nonlocal outside, content, links
-        name, o, c = stack.pop()
-        outside, content, links = outside - o, content - c, links - (name == "a")
+        nonlocal at, content, links
+        name, e = stack.pop()
+        at, content, links = elements.parents[e], content - (name in _CONTENT), links - (name == "a")
         return name
 
     for m in _TOKEN.finditer(page):
@@ -101,7 +164,9 @@ def items(page: str):
         else:
             token = m.group()
         if token[0] != "<" or len(token) == 1 or token[1] not in "/!?" and not token[1].isalpha():
-            yield "text", entities.unescape(token), outside > 0, content > 0, links > 0
+            text = entities.unescape(token)
+            elements.words[at] += len(text.split())
+            yield "text", text, at, links > 0
             continue
         named = _NAME.match(token)
         if not named:
@@ -114,11 +179,11 @@ def items(page: str):
                     pass
             elif name not in ("p", "br"):
                 continue
-            yield "tag", "/" + name, outside > 0, content > 0, links > 0
+            yield "tag", "/" + name, at, links > 0
             if name in _BLOCKS:
-                yield "break", "", outside > 0, content > 0, links > 0
+                yield "break", "", at, links > 0
             elif name == "br":
-                yield "text", " ", outside > 0, content > 0, links > 0
+                yield "text", " ", at, links > 0
             continue
         if name in _RAW:
             if token.endswith("/>") and name in ("svg", "math"):
@@ -150,16 +215,16 @@ def items(page: str):
                     break
                 if stack[k][0] in _BLOCKS:
                     break
-        out = _never_content(name, token) or (name == "header" and not content)
+        never = 2 if name == "header" and not content else _never_content(name, token)
         if name not in _VOID and not token.endswith("/>"):
-            is_content = name in _CONTENT
-            stack.append((name, out, is_content))
-            outside, content, links = outside + out, content + is_content, links + (name == "a")
-        yield "tag", name, outside > 0, content > 0, links > 0
+            at = elements.open(name, at, never)
+            stack.append((name, at))
+            content, links = content + (name in _CONTENT), links + (name == "a")
+        yield "tag", name, at, links > 0
         if name in _BLOCKS:
-            yield "break", "", outside > 0, content > 0, links > 0
+            yield "break", "", at, links > 0
         elif name == "br":
-            yield "text", " ", outside > 0, content > 0, links > 0
+            yield "text", " ", at, links > 0
 
 
 #: Scores where no page is labelled.
@@ -173,8 +238,8 @@ def page_features(page: str) -> tuple[Counter, Counter] | None:
     if len(marks) != 1:
         return None
     inside, rest = Counter(), Counter()
-    for kind, value, out, content, link in items(page):
-        to = inside if content and not out else rest
+    for kind, value, out, content, link in items(page)[0]:
+        to = inside if content >= 0 and not out else rest
         if kind == "tag":
             to["tag:" + value.removeprefix("/")] += 1
         elif kind == "text":
@@ -213,7 +278,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """
     if not page:
         return ""
-    row = list(items(page))
+    row, elements = items(page)
     word, link, other = weights["word"], weights["link"], weights["tag"]
     best = total = 0.0
     start = 0
@@ -232,9 +297,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if region is None:
         return ""
     first, last = region
-    named = any(row[i][3] and not row[i][2] and row[i][0] == "text" for i in range(first, last + 1))
+    named = any(row[i][3] >= 0 and not row[i][2] and row[i][0] == "text" for i in range(first, last + 1))
     if named:
-        inside = [i for i, x in enumerate(row) if x[3]]
+        inside = [i for i, x in enumerate(row) if x[3] >= 0]
         first, last = inside[0], inside[-1]
     else:
         while first > 0 and row[first - 1][0] != "break":
@@ -246,7 +311,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if kind == "break":
             blocks.append("".join(held))
             held = []
-        elif kind == "text" and not out and (content or not named):
+        elif kind == "text" and not out and (content >= 0 or not named):
             held.append(value)
     blocks.append("".join(held))
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)

@@ -478,6 +478,23 @@ def test_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='page has-sidebar comments-open'><nav>Menu of it</nav><article>{}</article></body>",
+        "<body><div class='layout with-sidebar'><article>{}</article><div class=sidebar>Other things</div></div></body>",
+        "<body><main class='widget-area'>{}<div class=share>Share it</div></main></body>",
+        "<body><article class='post comments-open'>{}</article><div class=comments><article class=comment>Nice one</article></div></body>",
+        "<body><form id=aspnet><div><article>{}</article></div><footer>Imprint</footer></form></body>",
+        "<body><main><article class='post comments-open'>{}</article><article class=related>Other text</article></main></body>",
+        "<body><div class='layout with-sidebar'><nav>Menu of it</nav><div>{}</div></div></body>",
+    ],
+)
+def test_wrappers_are_content(page):
+    text = "Some words of the text stand here and go on for a while. " * 3
+    assert html_extract.main_text(page.format(f"<p>{text}</p>"), html_extract.DEFAULT_WEIGHTS) == text.strip()
+
+
 def test_scan_finds_the_best_contiguous_run():
     page = "<div><a>x</a><a>y</a></div><div>" + "good words stand here " * 10 + "</div><div><a>z</a></div>"
     text = html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS)
