@@ -272,9 +272,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
     White space in a block becomes one space.  A page without words outside of menus and
     the like has an empty text.  Of regions with equal scores the first and longest wins.
-    Words of the region's own first and last block come whole, and a region inside an
-    article or main takes all of that element: a heading or a last line beside some tags
-    belongs to the text although it scores little.
+    Words outside of the page's articles and main count against a region, on pages that
+    have any.  The region's first and last block come whole, and a region inside of an
+    article or main grows to the innermost one that holds all of it: a heading or a last
+    line beside some tags belongs to the text although it scores little.
     """
     if not page:
         return ""
@@ -283,35 +284,43 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     best = total = 0.0
     start = 0
     region = None
-    for i, (kind, value, out, _, in_link) in enumerate(row):
+    marked = any(x[3] >= 0 and not x[2] and x[0] == "text" and x[1].strip() for x in row)
+    for i, (kind, value, out, content, in_link) in enumerate(row):
         if out or kind == "break":
             continue
         if kind == "tag":
             total += weights.get("tag:" + value.removeprefix("/"), other)
         elif n := len(value.split()):
+            score = n * (link if in_link else word)
+            if marked and content < 0:
+                score = -score
             if total <= 0:
                 total, start = 0.0, i
-            total += n * (link if in_link else word)
+            total += score
         if total > best:
             best, region = total, (start, i)
     if region is None:
         return ""
     first, last = region
-    named = any(row[i][3] >= 0 and not row[i][2] and row[i][0] == "text" for i in range(first, last + 1))
-    if named:
-        inside = [i for i, x in enumerate(row) if x[3] >= 0]
-        first, last = inside[0], inside[-1]
+    words = [x[3] for x in row[first : last + 1] if x[0] == "text" and not x[2] and x[1].strip()]
+    holders = set(elements.around(words[0])) if min(words) >= 0 else set()
+    for e in set(words):
+        holders &= set(elements.around(e))
+    holder = max((e for e in holders if elements.names[e] in _CONTENT), default=-1)
+    if holder >= 0:
+        inside = [i for i, x in enumerate(row) if x[3] >= 0 and holder in elements.around(x[3])]
+        first, last = min(first, inside[0]), max(last, inside[-1])
     else:
         while first > 0 and row[first - 1][0] != "break":
             first -= 1
         while last + 1 < len(row) and row[last + 1][0] != "break":
             last += 1
     blocks, held = [], []
-    for kind, value, out, content, _ in row[first : last + 1]:
+    for kind, value, out, _, _ in row[first : last + 1]:
         if kind == "break":
             blocks.append("".join(held))
             held = []
-        elif kind == "text" and not out and (content >= 0 or not named):
+        elif kind == "text" and not out:
             held.append(value)
     blocks.append("".join(held))
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)

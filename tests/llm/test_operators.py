@@ -495,6 +495,13 @@ def test_wrappers_are_content(page):
     assert html_extract.main_text(page.format(f"<p>{text}</p>"), html_extract.DEFAULT_WEIGHTS) == text.strip()
 
 
+def test_other_articles_are_no_part_of_the_text():
+    text = "Some words of the text stand here and go on for a while. " * 3
+    card = "<article><div><div><a href=x>A teaser</a></div></div></article>" + "<div><img></div>" * 9
+    page = f"<body>{card}<article><h1>Title</h1><p>{text}</p></article>{'<div><img></div>' * 9}{card}</body>"
+    assert html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS) == f"Title\n\n{text.strip()}"
+
+
 def test_scan_finds_the_best_contiguous_run():
     page = "<div><a>x</a><a>y</a></div><div>" + "good words stand here " * 10 + "</div><div><a>z</a></div>"
     text = html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS)
