@@ -29,7 +29,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
         self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+" if spaces else f"[^{_SPACE}]+").findall
         # A piece that begins with white space and ends with a word can follow another one.

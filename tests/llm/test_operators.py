@@ -222,6 +222,18 @@ def test_token_files(spark):
     assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_codes(spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_special_strings_get_the_library_ids(name, spaces):
+    from sessionloom.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|startoftext|>\n z", "  <|endoftext|>  "]
+    plain = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, spaces).encode(rows)]
+    assert got == [plain.encode(x, add_special_tokens=False).ids for x in rows]
+
+
 def test_any_token_is_addressable():
     ids = np.random.default_rng(3).integers(0, 1 << 17, 5000).astype(np.uint32)
     ids[::3] %= 256
