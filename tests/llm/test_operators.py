@@ -147,6 +147,30 @@ def test_mixing_odd_input(spark):
     assert mixing.mixed_documents(empty_docs(spark)).count() == 0
 
 
+def test_mixing_narrows_the_range_of_the_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    ours, theirs = both(queries.op3_source_mixing(spark, SF), mixing.ORACLE, SF)
+    assert ours == theirs
+
+
+def test_mixing_takes_some_of_equal_rows(spark):
+    """Source a has ten equal rows of three words and lies alone: its target is its size;
+    with b's excess it takes more, but never a part of a row."""
+    rows = [(1, "x y z", "a", i) for i in range(10)] + [(None, "p q", "b", i) for i in range(45)] + [(i, "w" * 4000, "c", i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, skey int").repartition(5)
+    per: dict = {}
+    for r in mixing.mixture(docs).collect():
+        t = per.setdefault(r.source, [r.target, 0, r["size"]])
+        t[1] += r.taken
+        assert r.taken % r["size"] == 0 and r.taken <= 3 * r["size"]
+    assert all(abs(t[0] - t[1]) <= t[2] / 2 for t in per.values())
+    mixed = mixing.mixed_documents(docs).collect()
+    for s, t in per.items():
+        assert sum(len(r.text.split()) for r in mixed if r.source == s) == t[1]
+    assert {r.skey for r in mixed if r.source == "a"} == set(range(10))
+
+
 # 4
 
 
