@@ -10,6 +10,7 @@ nor stand in the text.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -91,11 +92,34 @@ class Elements:
         self.words.append(0)
         return len(self.names) - 1
 
-    def around(self, e: int):
-        """The element and those that contain it, from the inside."""
-        while e >= 0:
-            yield e
+    def ancestors(self, some) -> set[int]:
+        """The elements and those that contain them."""
+        found: set[int] = set()
+        for e in some:
+            while e >= 0 and e not in found:
+                found.add(e)
+                e = self.parents[e]
+        return found
+
+    def holder(self, some: set[int]) -> int:
+        """The innermost article or main around all of the elements, or -1."""
+        open_ = [-e for e in some]
+        heapq.heapify(open_)
+        while len(open_) > 1:  # parents open before their children, so have lower numbers
+            e = heapq.heappop(open_)
+            if e != open_[0]:
+                heapq.heappush(open_, -self.parents[-e])
+        e = -open_[0]
+        while e > 0 and self.names[e] not in _CONTENT:
             e = self.parents[e]
+        return e if e > 0 else -1
+
+    def within(self, holder: int) -> list[bool]:
+        """Of each element: is it the holder or inside of it."""
+        found = [False] * len(self.names)
+        for e in range(holder, len(found)):
+            found[e] = e == holder or (self.parents[e] >= holder and found[self.parents[e]])
+        return found
 
     def flags(self) -> tuple[list[bool], list[int]]:
         """Of each element: is it outside; the innermost article or main around it, or -1.
@@ -115,11 +139,14 @@ class Elements:
         own = mains[:]
         if articles:
             # Inside of a kept main, its own names and those around it say nothing.
-            around = {x for m in mains for x in self.around(m)} | kept
-            free = [e for e in articles if not any(self.never[x] and x not in around for x in self.around(e))]
+            around = self.ancestors(mains) | kept
+            barred = [False] * n
+            for e in range(1, n):
+                barred[e] = barred[self.parents[e]] or bool(self.never[e] and e not in around)
+            free = [e for e in articles if not barred[e]]
             own.append(articles[0] if total[articles[0]] * 2 > total[0] or not free else free[0])
         if own:
-            kept.update(x for e in own for x in self.around(e))
+            kept |= self.ancestors(own)
         else:
             kept.update(e for e in range(n) if total[e] * 5 >= total[0] * 4)
         outside, content = [False] * n, [-1] * n
@@ -146,13 +173,21 @@ def items(page: str) -> tuple[list[tuple], Elements]:
 def _walk(page: str, elements: Elements):
     """``(kind, value, element, link)``."""
     stack: list[tuple[str, int]] = []  # name, element
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+    blocks: list[int] = []  # the same for blocks of any name
     at = content = links = 0
     skip_to = -1
     lower = None
 
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
     def pop():
         nonlocal at, content, links
         name, e = stack.pop()
+        places[name].pop()
+        if name in _BLOCKS:
+            blocks.pop()
         at, content, links = elements.parents[e], content - (name in _CONTENT), links - (name == "a")
         return name
 
@@ -173,8 +208,7 @@ def _walk(page: str, elements: Elements):
             continue
         name = named[1].lower()
         if token[1] == "/":
-            if any(s[0] == name for s in stack):
-                # A closing tag doesn't reach out of an element that is closed by name only.
+            if places.get(name):
                 while pop() != name:
                     pass
             elif name not in ("p", "br"):
@@ -200,24 +234,19 @@ def _walk(page: str, elements: Elements):
                 skip_to = len(page) if close < 0 else close + 1
             continue
         if name in _CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SCOPE[name]:
-                    break
-                if stack[k][0] in _CLOSES[name]:
-                    while len(stack) > k:
-                        pop()
-                    break
-        elif name in _BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+            k = last(_CLOSES[name])
+            if k > last(_SCOPE[name]):
+                while len(stack) > k:
+                    pop()
+        elif name in _BLOCKS and blocks and stack[blocks[-1]][0] == "p":
+            for _ in range(len(stack) - blocks[-1]):
+                pop()
         never = 2 if name == "header" and not content else _never_content(name, token)
         if name not in _VOID and not token.endswith("/>"):
             at = elements.open(name, at, never)
+            places.setdefault(name, []).append(len(stack))
+            if name in _BLOCKS:
+                blocks.append(len(stack))
             stack.append((name, at))
             content, links = content + (name in _CONTENT), links + (name == "a")
         yield "tag", name, at, links > 0
@@ -247,17 +276,40 @@ def page_features(page: str) -> tuple[Counter, Counter] | None:
     return inside, rest
 
 
+def _drawn(pages: DataFrame, sample_pages: int) -> DataFrame:
+    """``(html, u)`` of the pages of the ``sample_pages`` lowest hashes u among the distinct
+    ones that name their content.  The driver gets about twice as many hashes at most."""
+    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.expr(f"html IS NOT NULL AND length(html) <= {SAMPLE_CHARS}"))
+    marked = marked.where(F.col("html").rlike("(?i)<(article|main)\\b")).withColumn("u", F.xxhash64("html").bitwiseAND(F.lit((1 << 62) - 1)))
+    about = marked.agg(F.approx_count_distinct("u")).first()[0]
+    some = marked.where(F.col("u") < int(min(1.0, 2 * sample_pages / max(about, 1)) * (1 << 62)))
+    lowest = [r[0] for r in some.select("u").distinct().orderBy("u").limit(sample_pages).collect()]
+    return marked.where(F.col("u") <= (lowest[-1] if lowest else -1))
+
+
 def fit_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log odds of words, link words and each tag, from a bounded sample of the pages.
-    Words are held to be positive and tags negative."""
-    sample = pages.select(F.col("html").cast("string").alias("html")).where(F.expr(f"html IS NOT NULL AND length(html) <= {SAMPLE_CHARS}"))
-    sample = sample.where(F.col("html").rlike("(?i)<(article|main)\\b")).orderBy(F.xxhash64("html")).limit(sample_pages)
-    inside, rest = Counter(), Counter()
-    for (page,) in sample.collect():
-        if found := page_features(page):
-            inside.update(found[0])
-            rest.update(found[1])
-    if not inside or not rest:
+    """Log odds of words, link words and each tag, from at most ``sample_pages`` distinct
+    pages.  Words are held to be positive and tags negative.  Tasks count, the driver gets
+    the sums; copies of a page count once."""
+    ship(pages.sparkSession)
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            out = []
+            for page, u in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                found = None if u in seen else page_features(page.as_py())
+                seen.add(u)
+                if found:
+                    out += [(u, kind, found[0][kind], found[1][kind]) for kind in found[0].keys() | found[1].keys()]
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["u", "kind", "inside", "rest"])
+
+    features = _drawn(pages, sample_pages).mapInArrow(run, "u long, kind string, inside long, rest long")
+    once = features.groupBy("u", "kind").agg(F.max("inside").alias("inside"), F.max("rest").alias("rest"))
+    sums = once.groupBy("kind").agg(F.sum("inside"), F.sum("rest")).collect()
+    inside, rest = Counter({k: n for k, n, _ in sums}), Counter({k: n for k, _, n in sums})
+    if not +inside or not +rest:
         return dict(DEFAULT_WEIGHTS)
     kinds = inside.keys() | rest.keys() | {"word", "link"}
     n, k = sum(inside.values()) + len(kinds), sum(rest.values()) + len(kinds)
@@ -303,12 +355,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
     first, last = region
     words = [x[3] for x in row[first : last + 1] if x[0] == "text" and not x[2] and x[1].strip()]
-    holders = set(elements.around(words[0])) if min(words) >= 0 else set()
-    for e in set(words):
-        holders &= set(elements.around(e))
-    holder = max((e for e in holders if elements.names[e] in _CONTENT), default=-1)
+    holder = elements.holder(set(words)) if min(words) >= 0 else -1
     if holder >= 0:
-        inside = [i for i, x in enumerate(row) if x[3] >= 0 and holder in elements.around(x[3])]
+        held_in = elements.within(holder)
+        inside = [i for i, x in enumerate(row) if x[3] >= 0 and held_in[x[3]]]
         first, last = min(first, inside[0]), max(last, inside[-1])
     else:
         while first > 0 and row[first - 1][0] != "break":
