@@ -2,13 +2,17 @@
 
 Each archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary,
 then one frame for each record, so a record can be read with its offset and the
-dictionary alone.  Every archive's dictionary is built from its own first records.
+dictionary alone.  Every archive's dictionary is built from records of its own, taken
+evenly from all of it.  Records are WARC/1.1: a response's block is an HTTP response with
+the payload as its body; a revisit has no block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,37 +23,55 @@ from sessionloom.llm.common import make_dir, scratch_path, ship, staged
 from sessionloom.llm.files import write_file
 
 SKIPPABLE = 0x184D2A5D
-#: Payload bytes of an archive; bytes and records that its dictionary is built from; the
-#: dictionary's size.
-ARCHIVE_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES = 32 << 20, 4 << 20, 1000, 64 << 10
+#: Payload bytes of an archive; bytes, records and bytes of each record that its dictionary
+#: is built from; the dictionary's size.
+ARCHIVE_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS, SAMPLE_EACH, DICTIONARY_BYTES = 32 << 20, 4 << 20, 1000, 64 << 10, 64 << 10
 #: Smaller payloads are always stored.
 LEAST_REVISIT = 100
 LEVEL = 3
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record.  A revisit has no payload but its digest and length."""
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_IDS = uuid.UUID("5f0d7c1e-6f8e-4c39-9a55-8a1c3f6f6b60")
+
+
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_IDS, '/'.join(map(str, parts)))}>"
+
+
+def record(name: str, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: tuple[int, str | None, str | None] | None = None) -> bytes:
+    """One record.  ``first``: page_id, URL and record id (None: not known) of the response
+    that a revisit repeats."""
     one_line = lambda x: " ".join((x or "").split())
     head = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Record-ID: {name}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {size}",
-        "Content-Type: text/html; charset=utf-8",
+        f"X-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
+        "Content-Type: application/http; msgtype=response",
     ]
-    if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    if first:
+        head += [f"WARC-Refers-To: {first[2]}"] if first[2] else []
+        head += [
+            f"WARC-Refers-To-Target-URI: {one_line(first[1])}",
+            f"WARC-Refers-To-Date: {date}",
+            f"X-Refers-To-Page: {first[0]}",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        ]
+    block = b"" if first else _HTTP + payload
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's fields and payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def archive(records: list[bytes], level: int = LEVEL) -> bytes:
@@ -57,11 +79,11 @@ def archive(records: list[bytes], level: int = LEVEL) -> bytes:
     import zstandard
 
     sample, size = [], 0
-    for r in records[:SAMPLE_RECORDS]:
-        sample.append(r[:SAMPLE_BYTES])
+    # A long record gives its beginning only, so it doesn't crowd the others out.
+    whole = sum(min(len(r), SAMPLE_EACH) for r in records)
+    for r in records[:: max(1, -(-len(records) // SAMPLE_RECORDS), -(-whole // SAMPLE_BYTES))]:
+        sample.append(r[:SAMPLE_EACH])
         size += len(sample[-1])
-        if size >= SAMPLE_BYTES:
-            break
     dictionary = None
     if len(sample) >= 8:
         try:
@@ -101,29 +123,40 @@ def records_of(data: bytes):
 
 
 def with_decisions(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, payload, digest, refers_to)``: ``refers_to`` is the smallest page_id
-    with the same payload, for payloads that are revisits, else null.
+    """``(page_id, url, payload, digest, refers_to, first_url, first_rows)``: ``refers_to`` is
+    the smallest page_id with the same payload, for payloads that are revisits, else null;
+    ``first_rows`` is how many rows with the payload that page_id has.
 
     Equal payloads of ``LEAST_REVISIT`` bytes or more are stored once.  Null html is an
     empty payload.  Null page ids come after all others; payloads whose pages all lack an
-    id are all stored.
+    id are all stored.  Where the smallest page_id stands in several equal rows, each of
+    them is a response.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    again = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    again = staged(again.select("digest", "first"), "repeated-payloads")
+    # Copies of a page are counted before they meet: no payload is moved.
+    per_page = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n", "url"))).alias("f")
+    again = per_page.groupBy("digest").agg(F.sum("n").alias("rows"), first).where("rows > 1 AND f IS NOT NULL")
+    again = staged(again.select("digest", F.col("f.page_id").alias("first"), F.col("f.n").alias("first_rows"), F.col("f.url").alias("first_url")), "repeated-payloads")
     joined = rows.join(again, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"), "first_url", "first_rows")
 
 
-def write_archives(pages: DataFrame, directory: str | None = None, level: int = LEVEL) -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, directory: str | None = None, level: int = LEVEL, date: str | None = None) -> tuple[str, DataFrame]:
     """Write all rows of ``pages(page_id, url, html)``; gives the folder and its manifest
-    ``(file, n_records, n_bytes)``."""
+    ``(file, n_records, n_bytes)``.  ``date`` (YYYY-MM-DDThh:mm:ssZ) is that of all records,
+    by default the time of the call.
+
+    A record's id follows from its page and payload if that page has them once, else from
+    its place, so ids are unique within the folder and a task that runs again writes the
+    same ones."""
     spark = pages.sparkSession
     ship(spark)
     directory = make_dir(spark, directory or scratch_path(spark, "warc"))
+    folder = directory.rstrip("/").rsplit("/", 1)[-1]
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         pid, seq = TaskContext.get().partitionId(), 0
@@ -137,10 +170,14 @@ def write_archives(pages: DataFrame, directory: str | None = None, level: int =
             held, size, seq = [], 0, seq + 1
 
         for b in batches:
-            for page_id, url, payload, digest, refers_to in zip(*b.columns, strict=True):
-                raw, ref = payload.as_py(), refers_to.as_py()
-                kind = "response" if ref is None else "revisit"
-                held.append(record(kind, page_id.as_py(), url.as_py(), raw, digest.as_py(), len(raw), ref))
+            for row in zip(*b.columns, strict=True):
+                page_id, url, payload, digest, refers_to, first_url, first_rows = (x.as_py() for x in row)
+                name, first = record_id("place", folder, pid, seq, len(held)), None
+                if refers_to is not None:
+                    first = (refers_to, first_url, record_id("page", refers_to, digest) if first_rows == 1 else None)
+                elif first_rows == 1:  # others refer to it
+                    name = record_id("page", page_id, digest)
+                held.append(record(name, date, page_id, url, payload, digest, first))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     flush()
@@ -169,8 +206,7 @@ def read_archives(spark, directory: str, keep_payload: bool = True) -> DataFrame
                     n = int(fields["X-Payload-Length"])
                     if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                    name = fields["WARC-Record-ID"][10:-1]
-                    ref = fields.get("WARC-Refers-To", "<urn:page:>")[10:-1]
+                    name, ref = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
                     row = (int(name) if name else None, fields["WARC-Target-URI"], n, digest, kind, int(ref) if ref else None, payload if keep_payload else None)
                     for col, x in zip(cols, row, strict=True):
                         col.append(x)
