@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -291,16 +292,33 @@ def test_warc_odd_input(spark):
     out = {r.page_id: r for r in warc.read_archives(spark, directory).collect()}
     assert manifest.agg({"n_records": "sum"}).first()[0] == 7
     assert out[3].payload == big.encode() and out[4].refers_to == out[None].refers_to == 3 and out[6].record_type == "response"
+    # A page in two equal rows is a response twice; its copies refer to the page, not to one record.
+    twice, _ = warc.write_archives(spark.createDataFrame([(1, "u", big), (1, "u", big), (2, "v", big)], "page_id long, url string, html string"), date="2024-01-01T00:00:00Z")
+    again = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, twice).collect())
+    assert again == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
     empty, _ = warc.write_archives(pages.limit(0))
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_records_are_complete(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "same text " * 40 + str(i // 2)) for i in range(20)] + [(1, "http://x/1", "again")], "page_id long, url string, html string")
+    directory, _ = warc.write_archives(pages)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(directory).select("content").collect()
+    fields = [warc.parse_record(raw)[0] for f in files for raw in warc.records_of(bytes(f.content))]
+    ids = {x["WARC-Record-ID"] for x in fields}
+    assert len(ids) == len(fields) == 21
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", x["WARC-Date"]) and re.fullmatch(r"<urn:uuid:[-0-9a-f]{36}>", x["WARC-Record-ID"]) for x in fields)
+    revisits = [x for x in fields if x["WARC-Type"] == "revisit"]
+    assert len(revisits) == 10 and all(x["WARC-Refers-To"] in ids and x["WARC-Refers-To-Target-URI"] for x in revisits)
+
+
 def test_archive_starts_with_its_dictionary():
-    records = [warc.record("response", i, "http://x", b"<html>" + b"same words " * 40 + str(i).encode(), "0" * 64, 1, None) for i in range(200)]
+    records = [warc.record(warc.record_id(i), "2024-01-01T00:00:00Z", i, "http://x", b"<html>" + b"same words " * 40 + str(i).encode(), "0" * 64) for i in range(200)]
+    records[3] = warc.record(warc.record_id(3), "2024-01-01T00:00:00Z", 3, "http://x", b"q" * 9_000_000, "0" * 64)
     data = warc.archive(records)
     assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE
     assert list(warc.records_of(data)) == records
-    assert len(data) < sum(map(len, records)) / 3
+    assert len(data) < sum(map(len, records[:3] + records[4:])) / 3
 
 
 # 7
@@ -538,6 +556,23 @@ def test_other_articles_are_no_part_of_the_text():
     assert html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS) == f"Title\n\n{text.strip()}"
 
 
+def test_deep_and_unclosed_markup_takes_linear_time():
+    w = html_extract.DEFAULT_WEIGHTS
+    start = time.perf_counter()
+    for page in ("<div><b>" * 20_000 + "text" + "</i>" * 20_000, "<article>" * 20_000 + "word " + "<article>x</article>" * 3_000, "<table>" + "<b>" * 20_000 + "<tr></tr>" * 20_000):
+        html_extract.main_text(page, w)
+    assert time.perf_counter() - start < 20  # seconds; squared work takes minutes
+    assert html_extract.main_text("<article>" + "<div>" * 3_000 + "some words here", w) == "some words here"
+
+
+def test_weights_count_a_page_once(spark):
+    page = "<nav>a b</nav><article><p>some more words here</p></article><p>x</p>"
+    one = spark.createDataFrame([(1, page)], "page_id long, html string")
+    many = spark.createDataFrame([(i, page) for i in range(50)] + [(50, None), (51, "no marks")], "page_id long, html string").repartition(5)
+    assert html_extract.fit_weights(one) == html_extract.fit_weights(many)
+    assert html_extract.fit_weights(one.limit(0)) == html_extract.DEFAULT_WEIGHTS
+
+
 def test_scan_finds_the_best_contiguous_run():
     page = "<div><a>x</a><a>y</a></div><div>" + "good words stand here " * 10 + "</div><div><a>z</a></div>"
     text = html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS)
