@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained, on ordinary and on toxic text.  Ordinary text's
 dictionary holds what ordinary texts are made of; toxic text is made of that as well and
-of expressions of its own, so its dictionary holds both: one trained on the phrases that
-toxic texts have of their own, the strongest single words again, and ordinary text's
-dictionary, so that ordinary words cost the same with either.  A document is cut into windows
+of phrases of its own, so its dictionary holds both: one trained on the parts of toxic
+texts that ordinary ones lack, and ordinary text's dictionary, so that ordinary words cost
+the same with either.  A document is cut into windows
 of words, each compressed behind a phrase that ends both dictionaries: its one long match
 pays for the block's headers, so even a short match in the window shows.  Where a window
 is shorter with the toxic dictionary than with the ordinary one, it resembles toxic text;
@@ -91,32 +91,6 @@ def _least(toxic: list[str]) -> int:
     return min(4, max(1, len(toxic) // 3))
 
 
-def _own_expressions(toxic: list[str], ordinary: list[str], ratio: float = 30.0, most: int = 400) -> list[bytes]:
-    """Words and beginnings of words (4 to 10 bytes) of many toxic documents and hardly any
-    ordinary ones, the strongest last (zstandard reaches the end of a dictionary with the
-    shortest references).  What a stronger one covers is left out.  They only weight the
-    toxic dictionary: rarer ones and phrases are in its trained part."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for t in texts:
-            words = {w.strip(_EDGE) for w in t.encode("utf-8", "surrogatepass").lower().split()}
-            found = words | {w[:k] for w in words for k in range(4, min(11, len(w)))}
-            counts.update(found if counts is in_toxic else found & in_toxic.keys())
-    a, b = max(len(toxic), 1), max(len(ordinary), 1)
-    least = max(6, len(toxic) // 100)
-    found = []
-    for w, n in in_toxic.items():
-        odds = (n / a) / ((in_ordinary[w] + 0.5) / b)
-        if n >= least and odds >= ratio and len(w) >= 3:
-            found.append((n * math.log(odds), w))
-    kept: list[tuple[float, bytes]] = []
-    for worth, w in sorted(found, reverse=True):
-        covered = any(w.startswith(k) or (k.startswith(w) and worth * 0.95 <= v) for v, k in kept)
-        if not covered and len(kept) < most:
-            kept.append((worth, w))
-    return [w for _, w in reversed(kept)]
-
-
 def _grams(text: str) -> tuple[list[bytes], list[np.ndarray]]:
     """The text's words without punctuation around them, and the hashes of its runs of one
     to ``GRAM`` words.  Hashes hold within one process, which is all that training needs."""
@@ -197,8 +171,7 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     samples = [w for t in ordinary for w in _spread(_phrases(t), TRAINED_PER_TEXT)]
     common = _trained(_spread(samples, TRAINED), DICTIONARY_BYTES) or b" the "
     theirs = _trained(_spread(_own_phrases(toxic, ordinary), TRAINED), TOXIC_BYTES)
-    listed = (b" " + b" ".join(_own_expressions(toxic, ordinary)) + b" ")[-DICTIONARY_BYTES:]
-    model = Model(common, theirs + listed + common)
+    model = Model(common, theirs + common)
     x = np.array([model.features(r[1]) for r in kept] or [model.features("")], dtype=np.float64)
     y = np.array([r[2] for r in kept] or [0], dtype=np.float64)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -239,8 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of each row of ``docs``; null texts score as
-    empty ones."""
+    """``(doc_id, held_out, score, predicted)`` of each row of ``docs``.
+
+    Null texts score as empty ones, which have the score of no window at all.  Whole texts
+    count however long they are; equal texts have equal scores, and repeated rows a row
+    each.  A null doc_id is not held out.  An empty table gives an empty result; without
+    any labelled document every score is 0 or near it.  Other columns are ignored."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -466,6 +466,25 @@ def test_toxicity_finds_planted_words(spark):
     assert {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()} == {i for i in range(600) if i % 4}
 
 
+def test_window_differences_are_plain_compression_lengths():
+    import zstandard as z
+
+    toxic = [f"well {w} you rotten liar and go away {i}" for i, w in enumerate("then so yes no ok fine sure right".split() * 4)]
+    clean = [f"the weather in town {i} is fine for a walk along the river" for i in range(60)]
+    model = toxicity.train([(i, t, 1) for i, t in enumerate(toxic)] + [(100 + i, t, 0) for i, t in enumerate(clean)])
+    text = "you rotten liar the weather in town"
+    parts = [b" you rotten liar ", b" the weather in ", b" town "]
+    assert toxicity.windows(text) == parts
+
+    def length(part, dictionary):
+        params = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2, min_match=4, window_log=15, hash_log=13, chain_log=13, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)).compress(part))
+
+    carrier = model.ordinary[-toxicity.CARRIER :]
+    plain = [length(carrier + p, model.ordinary) - length(carrier + p, model.toxic) for p in parts]
+    assert model.differences(parts).tolist() == plain and plain[0] > max(plain[1:])
+
+
 def test_toxicity_odd_input(spark):
     _, labels = planted(spark)
     docs = odd_docs(spark)
