@@ -19,8 +19,11 @@ from sessionloom.llm.components import connected_components
 from sessionloom.llm.vectors import is_valid, matrix
 
 THRESHOLD = 0.98
-#: Vectors of a tile, on average.
-TILE = 1024
+#: Bytes of a tile's vectors, on average, and its least number of vectors.  Every tile goes
+#: to all tiles of its label, so what is shuffled falls with their size.
+TILE_BYTES, TILE = 1 << 20, 1024
+#: Rows and columns of the products that are computed at once.
+_PRODUCT = 1024
 #: Candidate pairs that are computed in double precision at once.
 _EXACT = 100_000
 
@@ -77,7 +80,17 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def _links_in_parts(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``tile_links`` of large tiles, some rows and columns at a time."""
+    found = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(x), _PRODUCT):
+        for j in range(i if same else 0, len(y), _PRODUCT):
+            a, b = tile_links(x[i : i + _PRODUCT], y[j : j + _PRODUCT], same and i == j, threshold)
+            found.append(np.stack([a + i, b + j]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
     """One row ``(vec_id, n_links, component_id, kept)`` for each row of
     ``vectors(vec_id, embedding, label)``.
 
@@ -85,6 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     or more in double precision.  Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without a vec_id, link with nothing and are their
     own component (null without an id, and not kept).  Equal rows are links of each other.
+    ``tile`` sets the vectors of a tile.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -93,7 +107,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     rows = staged(rows.withColumn("part", part), "vectors")
     single = rows.where("part").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     single = staged(single.withColumn("dim", F.size("embedding")), "distinct-vectors")
-    groups = single.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    size = F.lit(tile) if tile else F.greatest(F.lit(TILE), F.lit(TILE_BYTES) / (4 * F.col("dim")))
+    groups = single.groupBy("label", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
     dealt = single.join(groups, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     tiles = dealt.groupBy("label", "dim", "tiles", "tile").agg(F.collect_list(F.struct("rep", "copies", "embedding")).alias("rows"))
     tiles = staged(tiles.select("label", "dim", "tiles", "tile", F.col("rows.rep").alias("rep"), F.col("rows.copies").alias("copies"), F.flatten("rows.embedding").alias("flat")), "tiles")
@@ -108,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
                 dim, i, j = (b.column(k)[r].as_py() for k in range(3))
                 ids, copies, flat = ([b.column(k)[r].values.to_numpy(zero_copy_only=False) for k in (at, at + 3)] for at in (3, 4, 5))
                 x, y = (f.reshape(-1, dim) for f in flat)
-                a, c = tile_links(x, y, i == j, threshold)
+                a, c = _links_in_parts(x, y, i == j, threshold)
                 if not len(a):
                     continue
                 both = np.concatenate(ids)

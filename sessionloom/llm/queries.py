@@ -58,6 +58,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_embedding_dedup, op3_source_mixing, op4_simhash_golay, op5_token_codes, op6_warc_dictionary, op7_bin_completion, op8_nn_descent, op9_toxicity, op10_main_text)}
 
 ORACLES = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, coalesce(label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS takes_part
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE a.takes_part AND b.takes_part AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reached(s, t) AS (SELECT vec_id, vec_id FROM v UNION SELECT s, w FROM reached JOIN links ON t = u)
+SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN (SELECT s, min(t) AS component_id FROM reached GROUP BY s) ON s = vec_id
+""",
     "op3_source_mixing": mixing.ORACLE,
     "op6_warc_dictionary": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

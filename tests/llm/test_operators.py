@@ -110,6 +110,12 @@ def test_embedding_dedup(spark):
             assert (r.n_links, r.component_id, r.kept) == (links.get(r.vec_id, 0), label.get(r.vec_id, r.vec_id), label.get(r.vec_id, r.vec_id) == r.vec_id)
 
 
+def test_embedding_dedup_gives_its_sql(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "_PRODUCT", 5)
+    ours, theirs = both(queries.op2_embedding_dedup(spark, SF), queries.ORACLES["op2_embedding_dedup"], SF)
+    assert ours == theirs
+
+
 def test_embedding_dedup_odd_input(spark):
     schema = "vec_id long, embedding array<float>, label int, rep int, links int, part string"
     nan, inf = float("nan"), float("inf")
