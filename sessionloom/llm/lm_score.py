@@ -11,6 +11,7 @@ distinct word, wherever that word stands.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable
@@ -26,7 +27,10 @@ from sessionloom.llm.common import ship, staged
 BOUNDARY = "▁"
 #: Words whose counts and probabilities every task holds: the most frequent ones.  The
 #: others are joined; none of them can be more than 1 / HOT_WORDS of all tokens.
-HOT_WORDS = 200_000
+HOT_WORDS = 100_000
+#: Characters from which on a word is held by its digest, so that what is held has a bound
+#: in bytes.
+LONG_WORD = 64
 #: Added to each piece's count.
 SMOOTHING = 0.1
 _FLUSH = 400_000
@@ -107,6 +111,11 @@ def words_of(text: str | None) -> list[str]:
 _SPACES = dict.fromkeys(range(9, 14), " ")
 
 
+def short_name(word: str) -> str:
+    """The word, or a digest that no word equals (it begins with a space)."""
+    return word if len(word) < LONG_WORD else " " + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 7 is 2; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -189,7 +198,8 @@ def _word_scores(words: DataFrame, pieces: list[str], log_probs: list[float]) ->
 
 
 def _by_text(docs: DataFrame, hot: list) -> DataFrame:
-    """Sums over the hot words of each text, and its other words with their counts."""
+    """Sums over the hot words of each text, and its other words with their counts.
+    ``hot`` has words by their ``short_name``."""
     held = docs.sparkSession.sparkContext.broadcast(
         ({w: i for i, (w, _, _) in enumerate(hot)}, np.array([c for _, c, _ in hot], dtype=np.float64), np.array([p for _, _, p in hot]))
     )
@@ -210,7 +220,7 @@ def _by_text(docs: DataFrame, hot: list) -> DataFrame:
                     counts[""] = 1  # also what is left of white space
                     keys = list(counts)
                     n = np.fromiter(counts.values(), np.int64, len(keys))
-                    at = np.fromiter((get(k, missing) for k in keys), np.int64, len(keys))
+                    at = np.fromiter((get(k if len(k) < LONG_WORD else short_name(k), missing) for k in keys), np.int64, len(keys))
                     out = np.nonzero(at == missing)[0].tolist()
                     rare += [keys[i] for i in out]
                     times += n[out].tolist()
@@ -245,7 +255,8 @@ def lattice_scores(docs: DataFrame, model_file: str, held: Callable[[Column], Co
     sums = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n_train, distinct = sums[0] or 0, sums[1] or 0
     words = staged(_word_scores(counted, *train(counted, model_file)), "word-scores")
-    hot = [tuple(r) for r in words.orderBy(F.col("total").desc(), "word").limit(hot_words).select("word", "c", "logp").collect()]
+    name = F.when(F.length("word") < LONG_WORD, F.col("word")).otherwise(F.concat(F.lit(" "), F.sha2(F.col("word").cast("binary"), 256)))
+    hot = [tuple(r) for r in words.select(name.alias("name"), "c", "logp", "total").orderBy(F.col("total").desc(), "name").limit(hot_words).select("name", "c", "logp").collect()]
     texts = staged(_by_text(rows, hot), "text-sums")
 
     rare = texts.select("doc_id", "digest", F.posexplode(F.arrays_zip("rare", "times")).alias("pos", "x"))
