@@ -96,7 +96,7 @@ def price_model(raw: Column) -> Column:
     has = lambda *parts: F.expr("false") if not parts else _any(model.contains(p) for p in parts)
     opus = (
         F.when(has("opus-4-1", "opus-4.1"), "claude-opus-4.1")
-        .when(has(*[f"opus-4{s}{n}" for s in "-." for n in "5678"]), "claude-opus")
+        .when(has("opus-4-5", "opus-4.5", "opus-4-6", "opus-4.6", "opus-4-7", "opus-4.7", "opus-4-8", "opus-4.8"), "claude-opus")
         .when(has("opus-4"), "claude-opus-4")
         .otherwise("claude-opus")
     )
@@ -114,6 +114,10 @@ def price_model(raw: Column) -> Column:
     return F.when(model.contains("claude") | model.isin(*BARE_NAMES), first).otherwise(second)
 
 
+def is_priceable(model: Column) -> Column:
+    return price_model(model).isNotNull()
+
+
 def _any(conditions) -> Column:
     out = None
     for c in conditions:

@@ -37,19 +37,57 @@ def compaction_segments(messages: DataFrame) -> DataFrame:
     return out.select("session_id", "seq", F.coalesce("pre_tokens", "before").alias("pre_tokens"), "post_tokens")
 
 
-def infer_window(tool, model, peak):
-    """200 000 or a million tokens, for one producer only."""
-    wide = model.rlike(r"(?i)\[1m\]|-1m\b") | (peak > 200_000)
-    return F.when(tool == "claude_code", F.when(F.coalesce(wide, F.lit(False)), 1_000_000).otherwise(200_000))
+# Models of the first producer whose window is a million tokens.
+WIDE_MODELS = (r"(?:^|-)opus-(?:5|4-(?:6|7|8))(?:-|$)", r"(?:^|-)sonnet-(?:5|4-6)(?:-|$)", r"(?:^|-)fable-5(?:-|$)", r"(?:^|-)mythos-(?:5|preview)(?:-|$)")
+NARROW, WIDE = 200_000, 1_000_000
+
+
+def infer_window(tool, model, seen):
+    """200 000 or a million tokens, by the model's name or what was seen in it; for the first
+    producer only, and only if anything was seen."""
+    name = F.regexp_replace(F.lower(model), r"[._/:]", "-")
+    wide = seen > NARROW
+    for pattern in WIDE_MODELS:
+        wide |= F.coalesce(name.rlike(pattern), F.lit(False))
+    return F.when((tool == "claude_code") & (seen > 0), F.when(wide, WIDE).otherwise(NARROW))
 
 
 def peaks(points: DataFrame, session: DataFrame) -> DataFrame:
-    """Per session: peak, window (given or inferred), and the share in percent."""
+    """Per session with points: peak, window (given or inferred), and the share of it."""
     p = points.groupBy("session_id").agg(F.max("context_tokens").alias("peak_tokens"), F.max("turn").alias("turns"), F.count("*").alias("points"))
     s = session.select(F.col("id").alias("session_id"), "tool", "model", "context_window_tokens")
     out = p.join(s, "session_id")
     out = out.withColumn("window_tokens", F.coalesce("context_window_tokens", infer_window(F.col("tool"), F.col("model"), F.col("peak_tokens"))))
-    return out.select("session_id", "points", "turns", "peak_tokens", "window_tokens", F.round(F.try_divide(F.col("peak_tokens") * 100, F.col("window_tokens")), 4).alias("peak_pct"))
+    return out.select("session_id", "points", "turns", "peak_tokens", "window_tokens", F.round(F.try_divide(F.col("peak_tokens"), F.col("window_tokens")), 6).alias("peak_pct"))
+
+
+def context_tokens(*parts):
+    """Input, cache reads and cache writes together; null if none is known or nothing is there."""
+    total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+    return F.when(F.coalesce(*parts).isNotNull() & (total > 0), total)
+
+
+def main_thread(messages: DataFrame, session: DataFrame) -> DataFrame:
+    """Messages of users, assistants and the system, without copied rows of subagents (in a
+    subagent's own session they are the thread)."""
+    own = messages.where("role IN ('assistant', 'system', 'user')").join(session.select(F.col("id").alias("session_id"), F.col("is_subagent").alias("_sub")), "session_id")
+    rows = own.where("NOT is_sidechain OR _sub").drop("_sub")
+    return rows.withColumn("is_boundary", F.col("is_boundary") & (F.col("role") == "system"))
+
+
+def rollups(messages: DataFrame, session: DataFrame) -> DataFrame:
+    """``(session_id, context_window_tokens, peak_context_tokens, compaction_count, turn_count)``
+    of every session that has messages: what the archive keeps of the curve."""
+    thread = main_thread(messages, session)
+    seams = compaction_segments(thread).groupBy("session_id").agg(F.max("pre_tokens").alias("most_before"), F.count("*").alias("compaction_count"))
+    point = F.when((F.col("role") == "assistant") & (F.col("context_tokens") > 0), F.col("context_tokens"))
+    per = thread.groupBy("session_id").agg(F.max(point).alias("peak"), F.count_if("is_turn").alias("turns"))
+    s = session.select(F.col("id").alias("session_id"), "tool", "model", F.col("context_window_tokens").alias("given"))
+    out = s.join(per, "session_id", "left").join(seams, "session_id", "left")
+    peak = F.coalesce("peak", F.lit(0))
+    window = F.coalesce(F.when(F.col("given") > 0, F.col("given")), infer_window(F.col("tool"), F.col("model"), F.greatest(peak, F.coalesce("most_before", F.lit(0)))))
+    turns = F.greatest(F.coalesce("turns", F.lit(0)), F.when(peak > 0, 1).otherwise(0))
+    return out.select("session_id", window.cast("long").alias("context_window_tokens"), peak.cast("long").alias("peak_context_tokens"), F.coalesce("compaction_count", F.lit(0)).alias("compaction_count"), turns.cast("long").alias("turn_count"))
 
 
 def active_seconds(messages: DataFrame, most: int = 300) -> DataFrame:

@@ -7,34 +7,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.staging import staged
 
-def closure(session: DataFrame, max_depth: int = 5) -> DataFrame:
+
+def closure(session: DataFrame, max_depth: int | None = 5) -> DataFrame:
     """``(ancestor_id, descendant_id, depth)``, every session at depth 0 of itself.
 
-    ``max_depth`` joins at most; cycles end because a pair is kept at its least depth.
+    Each level is staged and joined to the links once, until it has nothing new or
+    ``max_depth`` (None: no bound) is reached.  A pair is kept at its least depth, so cycles
+    end.
     """
-    edges = session.where("parent_session_id IS NOT NULL").select(F.col("parent_session_id").alias("_parent"), F.col("id").alias("_child"))
-    level = session.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        level = level.join(edges, F.col("descendant_id") == F.col("_parent")).select("ancestor_id", F.col("_child").alias("descendant_id"), F.lit(depth).alias("depth"))
+    links = session.where("parent_session_id IS NOT NULL AND parent_session_id <> id").select(F.col("parent_session_id").alias("_parent"), F.col("id").alias("_child")).distinct()
+    links = staged(links, "session-links")
+    itself = session.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
+    # A link whose parent isn't there has no ancestor.
+    known = session.select(F.col("id").alias("_parent"))
+    level = staged(links.join(known, "_parent", "left_semi").select(F.col("_parent").alias("ancestor_id"), F.col("_child").alias("descendant_id"), F.lit(1).alias("depth")), "closure")
+    levels = []
+    while max_depth is None or len(levels) < max_depth:
+        if level.isEmpty():
+            break
+        levels.append(level)
+        if len(levels) == max_depth:
+            break
+        seen = reduce(DataFrame.unionByName, levels).select("ancestor_id", "descendant_id")
+        further = level.join(links, F.col("descendant_id") == F.col("_parent")).select("ancestor_id", F.col("_child").alias("descendant_id")).where("ancestor_id <> descendant_id").distinct()
+        level = staged(further.join(seen, ["ancestor_id", "descendant_id"], "left_anti").withColumn("depth", F.lit(len(levels) + 1)), "closure")
+    return reduce(DataFrame.unionByName, [itself, *levels])
+
+
+def below(session: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(id)`` of the sessions of ``roots(id)`` and all under them, however deep; cycles end.
+    Follows the few roots down, not every session up."""
+    links = session.where("parent_session_id IS NOT NULL").select(F.col("parent_session_id").alias("_parent"), F.col("id").alias("_child"))
+    level = staged(session.join(roots.select("id").distinct(), "id", "left_semi").select("id"), "below")
+    if level.isEmpty():
+        return level
+    links = staged(links, "session-links")
+    levels = []
+    while not level.isEmpty():
         levels.append(level)
-    every = reduce(DataFrame.unionByName, levels)
-    return every.groupBy("ancestor_id", "descendant_id").agg(F.min("depth").alias("depth"))
+        seen = reduce(DataFrame.union, levels)
+        further = level.join(links, level.id == links["_parent"]).select(F.col("_child").alias("id")).distinct()
+        level = staged(further.join(seen, "id", "left_anti"), "below")
+    return reduce(DataFrame.union, levels)
 
 
-def hidden(session: DataFrame, states: DataFrame, include_archived: bool = False, max_depth: int = 5) -> DataFrame:
+def hidden(session: DataFrame, states: DataFrame, include_archived: bool = False) -> DataFrame:
     """``(id)`` of the sessions under a deleted (or archived) one, itself included.
     ``states(id, state)``."""
-    roots = states.where(F.col("state").isin("deleted", *([] if include_archived else ["archived"]))).select(F.col("id").alias("ancestor_id"))
-    # Follow the few hidden roots down, not every session up.
-    edges = session.where("parent_session_id IS NOT NULL").select("parent_session_id", F.col("id").alias("child"))
-    level = session.join(roots, session.id == roots.ancestor_id, "left_semi").select("id")
-    found = [level]
-    for _ in range(max_depth):
-        level = level.join(edges, level.id == edges.parent_session_id).select(F.col("child").alias("id"))
-        found.append(level)
-    return reduce(DataFrame.union, found).distinct()
+    return below(session, states.where(F.col("state").isin("deleted", *([] if include_archived else ["archived"]))).select("id"))
 
 
 def visible(session: DataFrame, states: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -73,7 +95,7 @@ def iso_day(value: str | None) -> str | None:
         return None
 
 
-def subtree_totals(session: DataFrame, max_depth: int = 5) -> DataFrame:
+def subtree_totals(session: DataFrame, max_depth: int | None = 5) -> DataFrame:
     """Per top-level session: sessions and cost of its tree."""
     nodes = session.select(F.col("id").alias("descendant_id"), "cost_nano", "output_tokens")
     top = session.where("NOT is_subagent").select(F.col("id").alias("ancestor_id"))

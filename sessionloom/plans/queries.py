@@ -181,7 +181,7 @@ def subtree_totals(spark: SparkSession, d: str) -> DataFrame:
     return lineage.subtree_totals(ad.event_sessions(spark, d))
 
 
-@query("SELECT DISTINCT descendant_id AS id FROM closure JOIN state ON state.id = ancestor_id WHERE depth <= 5", (*SE, "closure", "state"))
+@query("SELECT DISTINCT descendant_id AS id FROM closure JOIN state ON state.id = ancestor_id", (*SE, "closure", "state"))
 def hidden_lineage(spark: SparkSession, d: str) -> DataFrame:
     return lineage.hidden(ad.event_sessions(spark, d), ad.event_states(spark, d))
 
@@ -261,14 +261,14 @@ def compaction_pre_post(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f""", {CTX} SELECT session_id, count(*) AS points, max(turn) AS turns, max(ct) AS peak_tokens, CASE WHEN session_id % 2 = 0 THEN 200000 END::INT AS window_tokens,
-    CASE WHEN session_id % 2 = 0 THEN round(max(ct) * 100.0::DOUBLE / 200000, 4) END AS peak_pct FROM cx WHERE role = 'assistant' AND ct > 0 GROUP BY session_id""",
+    f""", {CTX} SELECT session_id, count(*) AS points, max(turn) AS turns, max(ct) AS peak_tokens, CASE session_id % 4 WHEN 0 THEN 1000000 WHEN 2 THEN 200000 END::INT AS window_tokens,
+    CASE session_id % 4 WHEN 0 THEN round(max(ct)::DOUBLE / 1000000, 6) WHEN 2 THEN round(max(ct)::DOUBLE / 200000, 6) END AS peak_pct FROM cx WHERE role = 'assistant' AND ct > 0 GROUP BY session_id""",
     ("chat",),
 )
 def context_peaks(spark: SparkSession, d: str) -> DataFrame:
     points = context.context_points(_context(spark, d))
     session = ad.chat_messages(spark, d).select(F.col("session_id").alias("id")).distinct()
-    session = session.withColumn("tool", F.when(F.col("id") % 2 == 0, "claude_code").otherwise("codex")).withColumn("model", F.lit("claude-opus-4-7")).withColumn("context_window_tokens", F.lit(None).cast("int"))
+    session = session.withColumn("tool", F.when(F.col("id") % 2 == 0, "claude_code").otherwise("codex")).withColumn("model", F.when(F.col("id") % 4 == 0, "claude-opus-4-7").otherwise("claude-opus-4-1")).withColumn("context_window_tokens", F.lit(None).cast("int"))
     return context.peaks(points, session)
 
 

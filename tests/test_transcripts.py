@@ -1,87 +1,140 @@
-import json
+"""Transcripts of both producers to the canonical tables."""
 
-import pytest
-from sessionloom.operators import stats
-from sessionloom.sources import transcripts as t
-
-T = "2026-01-01T00:00:{:02d}.000Z"
+from __future__ import annotations
 
+import pytest
+import transcripts_fixture as fx
+from sessionloom import ingest, schema
+from sessionloom.sources import manifest
 
-def use(i, name, **given):
-    return {"type": "tool_use", "id": i, "name": name, "input": given}
 
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    path = tmp_path_factory.mktemp("logs")
+    fx.write_all(path)
+    return path
 
-def result(i, content, error=None):
-    return {"type": "tool_result", "tool_use_id": i, "content": content} | ({} if error is None else {"is_error": error})
 
+@pytest.fixture(scope="module")
+def archive(spark, root):
+    return ingest.build(spark, str(root), side_folders=(str(root),), index_files=(str(root / "second" / "session_index.jsonl"),))
 
-def said(kind, at, content, **more):
-    usage = {"usage": more.pop("usage")} if "usage" in more else {}
-    return {"type": kind, "timestamp": T.format(at), "sessionId": "s1", "cwd": "/w", "message": {"role": kind, "model": "claude-opus-4-7", "content": content} | usage} | more
 
+@pytest.fixture(scope="module")
+def sessions(archive):
+    return {r.source_session_id: r for r in archive.session.collect()}
+
+
+def rows(df, session, *order):
+    return df.where(df.session_id == session.id).orderBy(*order).collect()
 
-FIRST = [
-    said("user", 0, "Fix it"),
-    said("assistant", 1, [{"type": "text", "text": "I will"}], requestId="r", usage={"input_tokens": 10, "output_tokens": 5}),
-    said("assistant", 2, [use("a", "Bash", z=1, command="ls")], requestId="r", usage={"input_tokens": 10, "output_tokens": 9, "cache_read_input_tokens": 3}),
-    said("assistant", 3, [use("b", "mcp__srv__look", q=None)], requestId="r", usage={"input_tokens": 10, "output_tokens": 9}),
-    said("user", 4, [result("a", "first")]),
-    said("user", 5, [result("a", [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}], True)]),
-    {"type": "mystery", "timestamp": T.format(6)},
-    {"type": "mystery"},
-    {"type": "progress"},
-]
-SECOND = [
-    {"type": "session_meta", "timestamp": T.format(0), "payload": {"id": "s2", "cwd": "/v"}},
-    {"type": "turn_context", "payload": {"model": "gpt-5.4"}},
-    {"type": "response_item", "timestamp": T.format(1), "payload": {"type": "message", "role": "developer", "content": [{"type": "input_text", "text": "hello"}]}},
-    {"type": "response_item", "timestamp": T.format(2), "payload": {"type": "function_call", "name": "look", "namespace": "mcp__srv", "call_id": "c", "arguments": "{\"k\":1}"}},
-    {"type": "response_item", "timestamp": T.format(3), "payload": {"type": "function_call_output", "call_id": "c", "output": "done"}},
-    {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 5, "cached_input_tokens": 9, "output_tokens": 1}}}},
-    {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 100, "cached_input_tokens": 40, "cache_write_input_tokens": 10, "output_tokens": 7}}}},
-    {"type": "strange"},
-]
+
+def test_tables_have_their_schemas(archive):
+    for name, ddl in schema.TABLES.items():
+        assert schema.drift(getattr(archive, name), ddl) == [], name
 
 
-@pytest.fixture(scope="module")
-def read(spark, tmp_path_factory):
-    d = tmp_path_factory.mktemp("logs")
-    (d / "one.jsonl").write_text("\n".join(map(json.dumps, FIRST)) + "\n\n{broken\n")
-    (d / "rollout-two.jsonl").write_text("\n".join(map(json.dumps, SECOND)))
-    (d / "session_index.jsonl").write_text('{"id": "s2", "thread_name": "n"}')
-    recs, bad = t.records(spark, str(d))
-    recs = recs.cache()
-    return recs, bad, t.messages(recs)
-
-
-def test_issues(read):
-    recs, bad, _ = read
-    assert [(r.line_no, r.raw_line) for r in bad.collect()] == [(11, "{broken")]
-    assert sorted((r.type, r.n, r.line_no) for r in t.unknown_types(recs).collect()) == [("mystery", 2, 7), ("strange", 1, 8)]
-
-
-def test_a_request_bills_once_at_its_first_greatest_output(read):
-    recs, _, msgs = read
-    billed = msgs.where("usage IS NOT NULL").collect()
-    assert [(r.seq, r.usage.output) for r in billed] == [(2, 9)]
-    out = {r.source_session_id: r for r in t.sessions(recs, msgs).collect()}
-    a, b = out["s1"], out["s2"]
-    assert (a.input_tokens, a.output_tokens, a.cache_read_tokens, a.message_count, a.model) == (10, 9, 3, 8, "claude-opus-4-7")
-    assert (b.input_tokens, b.output_tokens, b.cache_read_tokens, b.cache_creation_tokens, b.message_count, b.model, b.cwd) == (50, 7, 40, 10, 3, "gpt-5.4", "/v")
-
-
-def test_roles_and_calls(read):
-    msgs = read[2]
-    roles = {}
-    for r in msgs.orderBy("seq").collect():
-        roles.setdefault(r.tool, []).append(r.role)
-    assert roles == {"claude_code": ["user", "assistant", "assistant", "assistant", "tool", "tool", "other", "other"], "codex": ["user", "assistant", "tool"]}
-    calls = {r.tool_use_id: r for r in t.tool_calls(t.blocks(msgs)).collect()}
-    assert (calls["a"].input, calls["a"].output, calls["a"].is_error, calls["a"].duration_ms) == ('{"command":"ls","z":1}', "x\ny", True, 3000)
-    assert (calls["b"].mcp_server, calls["b"].has_result, calls["b"].is_error, calls["b"].output) == ("srv", False, None, None)
-    assert (calls["c"].tool_name, calls["c"].output, calls["c"].is_error, calls["c"].duration_ms) == ("mcp__srv__look", "done", None, 1000)
-
-
-def test_usage_over_transcripts(read):
-    rows = stats.tool_usage(t.tool_calls(t.blocks(read[2]))).collect()
-    assert {(r.tool_name, r.calls, r.errors, r.p50_ms) for r in rows} == {("Bash", 1, 1, 3000), ("mcp__srv__look", 2, 0, 1000)}
+def test_first_producer_session(sessions):
+    s = sessions["main"]
+    assert (s.tool, s.title, s.cwd, s.git_branch, s.version) == ("claude_code", "Fix the failing login test", "/work/app", "main", "1.2.3")
+    assert (s.started_at, s.ended_at, s.message_count) == (fx.at(0), fx.at(10, 14), 16)
+    # r1 is billed once, r3's counts are no whole numbers.
+    assert (s.input_tokens, s.output_tokens, s.cache_read_tokens, s.cache_creation_tokens, s.cache_creation_1h_tokens) == (17, 12, 100, 20, 8)
+    assert s.model == "claude-opus-4-7" and (s.reasoning_effort, s.reasoning_effort_levels) == ("mixed", ["high", "5"])
+    # The one thinking request: nine tokens less a quarter of 14 and 38 visible bytes.
+    assert (s.reasoning_source, s.reasoning_estimate) == ("inferred", max(0, 9 - (14 + len('{"file_path":"/work/app/src/login.py"}')) // 4))
+    assert s.cost_in_nano == 17 * 5000 + 100 * 500 + 12 * 6250 + 8 * 10000 and s.cost_out_nano == 12 * 25000
+    assert (s.turn_count, s.error_count, s.interruption_count, s.compaction_count, s.sidechain_count) == (1, 1, 1, 1, 1)
+    assert (s.agent_spawn_count, s.skill_count, s.command_count, s.thinking_count, s.thinking_bytes) == (1, 0, 1, 1, 3)
+    assert s.active_seconds == 4 + 300 + 9
+    assert (s.outcome, s.work_type) == ("abandoned", "debugging")
+    assert (s.context_window_tokens, s.peak_context_tokens) == (1_000_000, 130)
+    assert not s.is_subagent and s.root_source_session_id == "root-1"
+
+
+def test_result_records_override_sums(sessions):
+    s = sessions["totals"]
+    assert (s.input_tokens, s.output_tokens, s.cache_read_tokens, s.cache_creation_tokens) == (50, 60, 70, 80)
+    assert s.work_type == "feature" and s.outcome == "completed"
+
+
+def test_subagents_find_their_spawner(sessions):
+    s = sessions["agent-a7"]
+    assert s.is_subagent and s.parent_session_id == sessions["main"].id
+    assert (s.agent_id, s.agent_type, s.spawn_tool_use_id, s.spawn_depth, s.turn_count) == ("a7", "scout", "spawn-1", 1, 1)
+    c = sessions["cx-child"]
+    assert c.is_subagent and c.parent_session_id == sessions["cx-1"].id and c.is_archived
+    assert (c.agent_id, c.agent_type, c.spawn_tool_use_id, c.spawn_depth) == ("scout", "explorer", "s1", 1)
+
+
+def test_second_producer_session(sessions):
+    s = sessions["cx-1"]
+    assert (s.tool, s.title, s.cwd, s.model, s.version) == ("codex", "The deploy", "/work/app", "gpt-5.4", "9")
+    # The last reading; its cached and written parts don't fit, so nothing was written.
+    assert (s.input_tokens, s.output_tokens, s.cache_read_tokens, s.cache_creation_tokens, s.reasoning_tokens) == (50, 30, 150, 0, 12)
+    assert (s.reasoning_source, s.reasoning_effort, s.context_window_tokens, s.peak_context_tokens) == ("reported", "medium", 272000, 90)
+    assert s.message_count == 14 and s.compaction_count == 1
+    assert s.work_type == "feature"  # the developer's text comes first and names nothing, a file was written
+
+
+def test_first_producer_messages(archive, sessions):
+    ms = rows(archive.message, sessions["main"], "seq")
+    assert [m.role for m in ms] == ["user", "assistant", "assistant", "assistant", "tool", "assistant", "tool", "tool", "other", "other", "user", "system", "user", "user", "assistant", "user"]
+    assert [m.seq for m in ms] == list(range(len(ms)))
+    assert [m.output_tokens for m in ms if m.role == "assistant"] == [None, 9, None, 3, 0]
+    assert ms[2].context_tokens == 130 and ms[11].is_boundary and ms[11].pre_tokens == 130 and ms[11].compact_trigger == "auto"
+    assert [m.seq for m in ms if m.is_turn] == [0]
+
+
+def test_second_producer_messages(archive, sessions):
+    ms = rows(archive.message, sessions["cx-1"], "seq")
+    assert [m.role for m in ms] == ["user", "user", "assistant", "assistant", "tool", "assistant", "tool", "assistant", "tool", "assistant", "tool", "assistant", "system", "assistant"]
+    # The first reading goes to the call before the tool's row, the second is stopped by the system's.
+    assert [(m.seq, m.input_tokens, m.cache_read_tokens) for m in ms if m.input_tokens is not None] == [(3, 60, 30)]
+    assert ms[5].timestamp == "2024-05-01T10:30:06.500Z" and ms[6].timestamp == fx.at(30, 8)
+
+
+def test_blocks(archive, sessions):
+    bs = rows(archive.block, sessions["main"], "seq", "ordinal")
+    assert [b.type for b in bs[:5]] == ["text", "thinking", "text", "tool_use", "tool_result"]
+    assert bs[4].tool_result == 'line\n{"a":[true],"x":1}'
+    cx = rows(archive.block, sessions["cx-1"], "seq")
+    assert cx[2].text == "think" and cx[3].tool_input.startswith('"*** Begin Patch') and cx[4].tool_result == '{"a":1,"ok":true}'
+    assert [b.type for b in cx].count("web_search") == 1 and len(cx) == 13  # an empty compaction has no block
+
+
+def test_tool_calls(archive, sessions):
+    calls = {c.tool_use_id: c for c in rows(archive.tool_call, sessions["main"], "seq")}
+    assert (calls["u1"].duration_ms, calls["u1"].is_error, calls["u1"].has_result) == (1000, None, True)
+    assert (calls["u2"].is_error, calls["u2"].input_bytes) == (True, len('{"file_path":"/elsewhere/b.RS","new_string":"é"}'.encode()))
+    assert calls["u3"].output_preview == "clean" and not calls["spawn-1"].has_result and calls["spawn-1"].output_bytes is None
+    cx = {c.tool_use_id: c for c in rows(archive.tool_call, sessions["cx-1"], "seq")}
+    assert (cx["k1"].tool_name, cx["k1"].mcp_server, cx["k1"].mcp_tool, cx["k1"].input, cx["k1"].duration_ms) == ("mcp__docs__read__it", "docs", "read__it", '{"a":2,"b":1}', 1500)
+    assert (cx["k2"].tool_name, cx["k2"].is_error, cx["k2"].output_preview) == ("mcp__docs__x", True, '{"Err":"gone"}')
+    assert cx["p1"].is_error is None
+
+
+def test_file_refs(archive, sessions):
+    assert [(f.path, f.rel_path, f.ext, f.operation) for f in rows(archive.file_ref, sessions["main"], "seq")] == [("/work/app/src/login.py", "src/login.py", "py", "read"), ("/elsewhere/b.RS", None, "rs", "edit")]
+    assert [(f.path, f.ext, f.operation) for f in rows(archive.file_ref, sessions["cx-1"], "nth")] == [("new.md", "md", "write"), ("a/.env", None, "delete")]
+
+
+def test_issues(archive, sessions):
+    found = sorted((i.code, i.line_no, i.error) for i in rows(archive.issue, sessions["main"], "code"))
+    assert [(c, n) for c, n, _ in found] == [("duplicate_tool_result", None), ("orphan_tool_result", None), ("unknown_record_type", 19), ("unparsed_line", 17)]
+    assert found[2][2] == 'unknown record type "mystery" on 2 line(s); kept as role "other"'
+    assert [(i.code, i.error) for i in rows(archive.issue, sessions["cx-1"], "code")] == [("unknown_record_type", 'unknown record type "novel" on 1 line(s); ignored')]
+
+
+def test_projects(archive):
+    found = {p.path: p for p in archive.project.collect()}
+    assert (found["/work/app"].name, found["/work/app"].is_worktree, found["/work/app"].root_source) == ("app", False, "self")
+    assert (found["/work/.worktrees/x"].root_path, found["/work/.worktrees/x"].worktree_label, found["/work/.worktrees/x"].root_source) == ("/work", "x", "intree")
+
+
+def test_listing_and_facts(spark, root):
+    files = {r.path.rsplit("/", 1)[-1]: r for r in manifest.listing(spark, str(root)).collect()}
+    assert set(files) == {"main.jsonl", "agent-a7.jsonl", "wrapper.jsonl", "totals.jsonl", "rollout-1.jsonl", "rollout-2.jsonl"}
+    assert files["rollout-2.jsonl"].is_archived and files["rollout-1.jsonl"].tool == "codex"
+    facts = {r.path.rsplit("/", 1)[-1]: r for r in manifest.content_facts(spark, str(root)).collect()}
+    assert facts["wrapper.jsonl"].line_count == 2 and len(facts["wrapper.jsonl"].hash) == 64
