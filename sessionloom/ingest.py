@@ -128,7 +128,7 @@ def _put(df: DataFrame, path: str, key: str) -> None:
 def _get(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], ddl)
-    return shaped(spark.read.parquet(path), ddl)
+    return shaped(spark.read.schema(ddl).parquet(path), ddl)
 
 
 def _replace(df: DataFrame, path: str) -> None:
@@ -203,7 +203,7 @@ def sync(spark: SparkSession, path: str, *sources: str, index_files: tuple[str,
         _put(rows, f"{path}/{name}", key)
     _replace(shaped(states, schema.USER_STATE), f"{path}/user_state")
 
-    session = load(spark, path).session
+    session = staged(load(spark, path).session, "session")  # the links it is read with are replaced
     linked = enrich.with_parents(session.drop("parent_session_id"), _with_tool(_get(spark, f"{path}/block", schema.BLOCK), session))
     _replace(linked.select("id", "parent_session_id", "spawn_tool_use_id"), f"{path}/link")
     _replace(projects(session, git_files), f"{path}/project")
