@@ -2,69 +2,104 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Letters with marks and their plain ones, as far as the tokenizer folds them.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> dict[str, str]:
+    """Small letters that are one of a to z with one mark, and the letter without it."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = [chr(int(x, 16)) for x in unicodedata.decomposition(c).split() if not x.startswith("<")]
+        if len(parts) == 2 and "a" <= parts[0] <= "z" and unicodedata.combining(parts[1]):
+            out[c] = parts[0]
+    return out
+
+
+_LETTERS = _plain_letters()
+#: Marks that stand by themselves are left out.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_FOLDED = str.maketrans(_LETTERS | dict.fromkeys(_MARKS))
 
 
 def fold(text):
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _PLAIN)
+    """Small letters without marks; ``parse_query`` folds by the same table."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_LETTERS) + _MARKS, "".join(_LETTERS.values()))
+
+
+def _tokens(text):
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(blocks: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """``blocks(block_id, <columns>)`` -> postings ``(term, block_id, tf)`` with weighted
-    frequencies, and lengths ``(block_id, length)`` of all columns together."""
-    terms = [
-        blocks.select("block_id", F.explode(F.filter(F.split(fold(F.col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("term"), F.lit(w).alias("weight")) for c, w in weights.items()
-    ]
-    rows = terms[0]
-    for t in terms[1:]:
-        rows = rows.unionByName(t)
-    found = rows.groupBy("block_id", "term").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"))
-    return found.select("term", "block_id", "tf", "n"), found.groupBy("block_id").agg(F.sum("n").alias("length"))
-
-
-def parse_query(query: str) -> list[tuple[str, bool]]:
-    """Terms of a query; the last one is a prefix unless it was quoted.  A query without
-    terms finds nothing."""
-    import re
-    import unicodedata
-
-    text = query.replace("\0", " ")
-    parts = re.findall(r'"((?:\\.|[^"\\])*)"|(\S+)', text)
-    out: list[tuple[str, bool]] = []
-    for i, (phrase, word) in enumerate(parts):
-        plain = "".join(c for c in unicodedata.normalize("NFD", (phrase or word).lower()) if not unicodedata.combining(c))
-        terms = [t for t in re.split(r"[\W_]+", plain) if t]
-        out += [(t, i == len(parts) - 1 and not phrase and k == len(terms) - 1) for k, t in enumerate(terms)]
+    """``blocks(block_id, <columns>)``, one row a block -> postings ``(term, block_id, col,
+    pos, weight, length)`` and lengths ``(block_id, length)`` of all columns together.
+
+    Neither needs a shuffle.  Null columns have no terms, blocks without terms no row."""
+    length = sum((F.size(_tokens(F.col(c))) for c in weights), F.lit(0)).cast("long")
+    lengths = blocks.select("block_id", length.alias("length")).where("length > 0")
+    rows = None
+    for i, (c, w) in enumerate(weights.items()):
+        one = blocks.select("block_id", length.alias("length"), F.posexplode(_tokens(F.col(c))).alias("pos", "term"))
+        one = one.select("term", "block_id", F.lit(i).alias("col"), "pos", F.lit(w).alias("weight"), "length")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows, lengths
+
+
+def parse_query(query: str) -> list[tuple[tuple[str, ...], bool]]:
+    """The phrases of a query: words between quotes, and each other word by itself, which may
+    fall into several terms.  The last phrase ends with a prefix.  A query without terms
+    finds nothing."""
+    parts = re.findall(r'"((?:\\"|[^"])*)"?|((?:\\"|\S)+)', query.replace("\0", " "))
+    out: list[tuple[tuple[str, ...], bool]] = []
+    for i, (quoted, word) in enumerate(parts):
+        plain = (quoted or word).replace('\\"', '"').lower().translate(_FOLDED)
+        terms = tuple(t for t in re.split(r"[\W_]+", plain) if t)
+        if terms:
+            out.append((terms, i == len(parts) - 1))
     return out
 
 
-def bm25(index: tuple[DataFrame, DataFrame], query: str, limit: int = 100) -> DataFrame:
-    """``(block_id, score)`` of the blocks that hold all terms, the best (most negative)
-    first, ties by block.  Counts are those of all blocks, visible or not."""
+def bm25(index: tuple[DataFrame, DataFrame], query: str, limit: int = 100, offset: int = 0, visible: DataFrame | None = None) -> DataFrame:
+    """``(block_id, score)`` of the blocks that hold all phrases, the best (most negative)
+    first, ties by block.  Counts are those of all blocks; ``visible(block_id)`` then says
+    which of them may be shown."""
     found, lengths = index
-    terms = parse_query(query)
-    stats = lengths.agg(F.count("*").alias("N"), F.avg("length").alias("mean"))
-    if not terms:
+    phrases = parse_query(query)
+    if not phrases:
         return lengths.limit(0).select("block_id", F.lit(0.0).alias("score"))
-    hits = None
-    for i, (term, prefix) in enumerate(terms):
-        rows = found.where(F.col("term").startswith(term) if prefix else F.col("term") == term).groupBy("block_id").agg(F.sum("tf").alias("tf"))
-        rows = rows.withColumn("i", F.lit(i))
-        hits = rows if hits is None else hits.unionByName(rows)
+    # One pass over the postings: each names the places in phrases that it can take.
+    places = []
+    for i, (terms, prefix) in enumerate(phrases):
+        for k, term in enumerate(terms):
+            is_last = prefix and k == len(terms) - 1
+            match = F.col("term").startswith(term) if is_last else F.col("term") == term
+            places.append((match, F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"))))
+    wanted = places[0][0]
+    for match, _ in places[1:]:
+        wanted = wanted | match
+    takes = F.filter(F.array(*[F.when(match, place) for match, place in places]), lambda p: p.isNotNull())
+    at = found.where(wanted).withColumn("p", F.explode(takes)).select("block_id", "length", "col", "weight", F.col("p.i").alias("i"), (F.col("pos") - F.col("p.k")).alias("start"))
+    if any(len(terms) > 1 for terms, _ in phrases):
+        need = F.element_at(F.array(*[F.lit(len(terms)) for terms, _ in phrases]), F.col("i") + 1)
+        at = at.groupBy("block_id", "length", "col", "weight", "i", "start").agg(F.count("*").alias("n")).where(F.col("n") == need)
+    hits = at.groupBy("block_id", "i").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
     seen = hits.groupBy("i").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(seen), "i").join(lengths, "block_id").crossJoin(F.broadcast(stats))  # one row of statistics, one for each term
+    stats = lengths.agg(F.count("*").alias("N"), F.avg("length").alias("mean"))
+    rows = hits.join(F.broadcast(seen), "i").crossJoin(F.broadcast(stats))  # one row of statistics, one for each phrase
     idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = rows.groupBy("block_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("terms"))
-    scored = scored.where(F.col("terms") == len(terms)).select("block_id", F.round("score", 6).alias("score"))
-    return scored.orderBy("score", "block_id").limit(limit)
+    scored = rows.groupBy("block_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("phrases"))
+    scored = scored.where(F.col("phrases") == len(phrases)).select("block_id", F.round("score", 6).alias("score"))
+    if visible is not None:
+        scored = scored.join(visible.select("block_id"), "block_id", "left_semi")
+    return scored.orderBy("score", "block_id").offset(offset).limit(limit)
 
 
 def snippet(text, term: str, words: int = 12):
