@@ -66,6 +66,13 @@ def fillings(counts: dict[int, int], gap: int, width: int = WIDTH, steps: int =
     used: dict[int, int] = {}
     left = [steps]
     shortest = lengths[-1]
+    # Where the lengths that fit into a rest begin; what doesn't fit is never walked over.
+    fitting = np.searchsorted(-np.array(lengths), -np.arange(gap + 1)).tolist()
+    place = {x: i for i, x in enumerate(lengths)}
+
+    def replaceable(rest: int, chosen: tuple[int, ...]) -> bool:
+        """A longer length that is there would fit in the place of a chosen one."""
+        return any(used.get(x, 0) < counts[x] for y in set(chosen) for x in lengths[fitting[min(y + rest, gap)] : place[y]])
 
     def grow(at: int, rest: int, chosen: tuple[int, ...]) -> bool:
         """True: enough found."""
@@ -73,9 +80,9 @@ def fillings(counts: dict[int, int], gap: int, width: int = WIDTH, steps: int =
         if left[0] < 0:
             return True
         fits = False
-        for i in range(at, len(lengths)):
+        for i in range(max(at, fitting[rest]), len(lengths)):
             x = lengths[i]
-            if x > rest or used.get(x, 0) >= counts[x]:
+            if used.get(x, 0) >= counts[x]:
                 continue
             fits = True
             used[x] = used.get(x, 0) + 1
@@ -83,9 +90,8 @@ def fillings(counts: dict[int, int], gap: int, width: int = WIDTH, steps: int =
             used[x] -= 1
             if stop:
                 return True
-        if not fits and not any(x <= rest and used.get(x, 0) < counts[x] for x in (shortest,)):
-            if not any(x > y and x - y <= rest and used.get(x, 0) < counts[x] for y in set(chosen) for x in lengths[: lengths.index(y)]):
-                found.append((rest, chosen))
+        if not fits and not (shortest <= rest and used.get(shortest, 0) < counts[shortest]) and not replaceable(rest, chosen):
+            found.append((rest, chosen))
         return sum(w == 0 for w, _ in found) >= width
 
     grow(0, gap, ())
