@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import ann, embed_dedup, html_extract, lm_score, mixing, packing, simhash, token_codes, toxicity, warc
+from sessionloom.llm import ann, collocations, embed_dedup, html_extract, language_id, lm_score, mixing, packing, simhash, token_codes, toxicity, warc, whitening
 from sessionloom.llm.common import table
 
 
@@ -55,7 +55,29 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_embedding_dedup, op3_source_mixing, op4_simhash_golay, op5_token_codes, op6_warc_dictionary, op7_bin_completion, op8_nn_descent, op9_toxicity, op10_main_text)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by compression with each language's dictionary."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.fit(docs))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases by score."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lattice_lm, op2_embedding_dedup, op3_source_mixing, op4_simhash_golay, op5_token_codes, op6_warc_dictionary, op7_bin_completion, op8_nn_descent, op9_toxicity,
+        op10_main_text, op11_language_id, op12_whitening, op13_collocations,
+    )
+}
 
 ORACLES = {
     "op2_embedding_dedup": """
@@ -71,6 +93,7 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, compone
 FROM v JOIN (SELECT s, min(t) AS component_id FROM reached GROUP BY s) ON s = vec_id
 """,
     "op3_source_mixing": mixing.ORACLE,
+    "op13_collocations": collocations.ORACLE,
     "op6_warc_dictionary": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
