@@ -254,17 +254,23 @@ def _full_cells(docs: DataFrame, lengths: tuple[int, ...], full: dict[int, np.nd
     return out
 
 
+_PHRASES = "`range` int, lang array<string>, phrase array<string>"
+
+
 def _candidates(docs: DataFrame, full: dict[int, np.ndarray], cells: int) -> DataFrame:
-    """``(lang, phrase, words)``: what stands behind full cells, each phrase once for each
-    task at most, then once."""
+    """``(lang, phrase)``: what stands behind full cells.  A task passes each on about once,
+    packed by ranges of hashes; what arrives from all tasks is told apart a range at a time."""
     held, shift = docs.sparkSession.sparkContext.broadcast(full), 64 - (cells.bit_length() - 1)
-    shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32())])
+
+    def packed(found: dict[int, tuple[list, list]]):
+        names = ["range", "lang", "phrase"]
+        return pa.record_batch([pa.array(list(found), pa.int32()), pa.array([x for x, _ in found.values()], pa.list_(pa.string())), pa.array([x for _, x in found.values()], pa.list_(pa.string()))], names)
 
     def find(batches):
         seen: set[int] = set()
+        out: dict[int, tuple[list, list]] = {}
         for b in batches:
             for words, langs in _taken_apart(b):
-                out = []
                 for k, run, which in _alive(words, _seeds(langs), held.value, shift):
                     if k < 2:
                         continue
@@ -274,13 +280,32 @@ def _candidates(docs: DataFrame, full: dict[int, np.ndarray], cells: int) -> Dat
                     for h, i in zip(hashes.tolist(), at[firsts].tolist(), strict=True):
                         if h not in seen:
                             seen.add(h)
-                            out.append((langs[words.text[i]], words.phrase(i, k), k))
+                            mine = out.setdefault(h % RANGES, ([], []))
+                            mine[0].append(langs[words.text[i]])
+                            mine[1].append(words.phrase(i, k))
                     if len(seen) > HELD:
-                        seen = set()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
+                        yield packed(out)
+                        seen, out = set(), {}
+        if out:
+            yield packed(out)
+
+    def tell_apart(batches):
+        mine, found = None, set()
+        for b in batches:
+            for r, langs, phrases in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != mine:
+                    yield from _rows(found)
+                    mine, found = r, set()
+                found.update(zip(langs, phrases, strict=True))
+        yield from _rows(found)
+
+    return _by_range(docs.mapInArrow(find, _PHRASES)).mapInArrow(tell_apart, "lang string, phrase string")
+
 
-    return docs.mapInArrow(find, "lang string, phrase string, words int").distinct()
+def _rows(found: set[tuple[str, str]]):
+    if found:
+        langs, phrases = zip(*found, strict=True)
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
 
 
 def plain(text: str | None) -> str:
@@ -372,7 +397,7 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
         bits = _full_cells(docs, lengths, full, cells, least)
         full |= dict.fromkeys(lengths, bits)
     phrases = staged(_candidates(docs, full, cells), "phrases")
-    ends = phrases.select("lang", F.explode(F.array(F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))).alias("phrase"), F.lit(1).alias("words"))
+    ends = phrases.select("lang", F.explode(F.array(F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))).alias("phrase"))
     wanted = staged(phrases.unionByName(ends.distinct()).withColumn("h", F.xxhash64("lang", "phrase")), "patterns")
     total = wanted.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     shards, found = -(-total // SHARD_BYTES), []
