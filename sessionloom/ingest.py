@@ -1,26 +1,25 @@
 """Transcripts to an archive of canonical tables, whole or by what has changed.
 
-The large tables lie in folders by a hash of the session, so a sync rewrites the folders
-of the sessions it has read again and no others.  Links between sessions and projects are
-small and follow from all sessions, so each sync writes them anew.
+The tables lie in folders by a hash of the session, so a sync rewrites the folders of the
+sessions it has read again and no others; their number doubles as the archive grows.  A
+sync writes beside what is there and then swaps one manifest (``store``), so one that ends
+early leaves the archive as it was.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom import schema
+from sessionloom import schema, store
 from sessionloom.functions.cost import with_cost
 from sessionloom.operators import context, enrich, user_state, worktree
 from sessionloom.schema import Archive, shaped
 from sessionloom.sources import manifest, transcripts
-from sessionloom.staging import exists, replace_dir, scratch_path, staged
+from sessionloom.staging import staged, unstage
 
-#: Folders that each large table is dealt into.
-FOLDERS = 64
 _BY_SESSION = {"message": schema.MESSAGE, "block": schema.BLOCK, "tool_call": schema.TOOL_CALL, "file_ref": schema.FILE_REF, "issue": schema.ISSUE}
 V = F.col
 
@@ -35,6 +34,8 @@ class Extracted:
     tool_call: DataFrame
     file_ref: DataFrame
     issue: DataFrame
+    #: ``(path, session_id)`` of all files read, those too whose session another file gives.
+    files: DataFrame | None = None
 
 
 def empty_states(spark: SparkSession) -> DataFrame:
@@ -47,7 +48,7 @@ def extract(spark: SparkSession, *paths: str, side_folders: tuple[str, ...] = ()
     ``side_folders`` are searched for the first producer's side files, ``index_files`` are
     the second producer's title indexes.
     """
-    recs = transcripts.parsed(spark, *paths)
+    recs, files = transcripts.parsed(spark, *paths)
     said = staged(transcripts.messages(recs), "messages")
     blks = staged(transcripts.blocks(recs), "blocks")
     titles = transcripts.thread_titles(spark, *index_files) if index_files else None
@@ -75,7 +76,7 @@ def extract(spark: SparkSession, *paths: str, side_folders: tuple[str, ...] = ()
     blks = blks.withColumn("id", F.xxhash64("session_id", "seq", "ordinal"))
     return Extracted(
         staged(shaped(s, schema.SESSION), "session"), message, shaped(blks, schema.BLOCK), staged(shaped(transcripts.tool_calls(blks, said), schema.TOOL_CALL), "tool-call"), shaped(refs, schema.FILE_REF),
-        staged(shaped(transcripts.issues(recs, blks), schema.ISSUE), "issue"),
+        staged(shaped(transcripts.issues(recs, blks), schema.ISSUE), "issue"), files,
     )
 
 
@@ -109,71 +110,65 @@ def _admitted(x: Extracted, states: DataFrame, known: DataFrame | None = None) -
     out = refused.select(V("id").alias("session_id"))
     keep = lambda df: df.join(out, "session_id", "left_anti")
     session = x.session.join(out, x.session.id == out.session_id, "left_anti")
-    return Extracted(session, keep(x.message), keep(x.block), keep(x.tool_call), keep(x.file_ref), keep(x.issue)), states
+    return Extracted(session, keep(x.message), keep(x.block), keep(x.tool_call), keep(x.file_ref), keep(x.issue), x.files), states
 
 
 # Archives on disk.
 
+_ALL = {**_BY_SESSION, "session": schema.SESSION}
+_KEYS = dict.fromkeys(_BY_SESSION, "session_id") | {"session": "id", "link": "id", "source": "path"}
+LINK = "id long, parent_session_id long, spawn_tool_use_id string"
 
-def _folder(session_id) -> F.Column:
-    return F.pmod(F.xxhash64(session_id), F.lit(FOLDERS)).cast("int")
 
-
-def _put(df: DataFrame, path: str, key: str) -> None:
-    """Write rows into their folders; those folders are replaced, others stay."""
-    at = df.withColumn("folder", _folder(V(key)))
-    at.repartition("folder", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
-
-
-def _get(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    if not exists(spark, path):
-        return spark.createDataFrame([], ddl)
-    return shaped(spark.read.schema(ddl).parquet(path), ddl)
-
-
-def _replace(df: DataFrame, path: str) -> None:
-    """A small table in the place of the one at the path, which it may be made from."""
-    spark = df.sparkSession
-    new = f"{path}.{scratch_path(spark, 'new').rsplit('/', 1)[-1]}"
-    df.write.parquet(new)
-    replace_dir(spark, new, path)
-
-
-def load(spark: SparkSession, path: str) -> Archive:
-    tables = {name: _get(spark, f"{path}/{name}", ddl) for name, ddl in schema.TABLES.items()}
-    links = _get(spark, f"{path}/link", "id long, parent_session_id long, spawn_tool_use_id string")
+def load(spark: SparkSession, path: str, at: store.Manifest | None = None) -> Archive:
+    at = store.manifest(spark, path) if at is None else at
+    tables = {name: store.read(spark, path, name, ddl, at) for name, ddl in schema.TABLES.items()}
+    links = store.read(spark, path, "link", LINK, at)
     s = tables["session"].drop("parent_session_id").withColumnRenamed("spawn_tool_use_id", "_own")
     s = s.join(links, "id", "left").withColumn("spawn_tool_use_id", F.coalesce("_own", "spawn_tool_use_id"))
     return Archive(**{**tables, "session": shaped(s, schema.SESSION)})
 
 
-def save(archive: Archive, path: str) -> None:
-    """Write a whole archive; it replaces what is there."""
+def save(archive: Archive, path: str, folders: int | None = None) -> None:
+    """Write a whole archive; it replaces what is there, at once."""
+    spark = archive.session.sparkSession
+    change = store.Change(spark, path, folders=folders)
+    known = store.read(spark, path, "source", schema.SOURCE, change.before)
     for name, ddl in schema.TABLES.items():
-        df = shaped(getattr(archive, name), ddl)
-        if name in ("project", "user_state"):
-            _replace(df, f"{path}/{name}")
-        else:
-            key = "id" if name == "session" else "session_id"
-            df.withColumn("folder", _folder(V(key))).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(f"{path}/{name}")
-    _replace(archive.session.select("id", "parent_session_id", "spawn_tool_use_id"), f"{path}/link")
+        change.put(name, getattr(archive, name), ddl, _KEYS.get(name))
+    change.put("link", archive.session, LINK, "id")
+    if folders and change.before.tables.get("source"):
+        change.put("source", known, schema.SOURCE, "path")
+    change.commit()
 
 
 @dataclass
 class SyncReport:
+    """What a sync did with the files that it found: ``scanned`` is ``ingested`` (read; of
+    two files with one session both are), ``skipped`` (known as they are), ``refused``
+    (deleted by the user) and ``empty`` (lines without anything).  Files of no bytes are not
+    listed: they are read once something is in them."""
+
     scanned: int = 0
     ingested: int = 0
     skipped: int = 0
     refused: int = 0
+    empty: int = 0
     issues: int = 0
     issues_by_code: dict[str, int] | None = None
 
 
+def _folders_of(ids: DataFrame, column: str, folders: int) -> list[int]:
+    """The folders of the keys, as many as there are folders at most."""
+    return sorted(r.folder for r in ids.select(store.folder_of(V(column), folders).alias("folder")).distinct().collect())
+
+
 def sync(spark: SparkSession, path: str, *sources: str, index_files: tuple[str, ...] = (), git_files: DataFrame | None = None) -> SyncReport:
     """Read the transcripts that are new or have changed, and put their sessions in the place
-    of the former ones.  The archive at ``path`` may not be there yet."""
+    of the former ones, all at once.  The archive at ``path`` may not be there yet."""
+    at = store.manifest(spark, path)
     files = staged(manifest.listing(spark, *sources), "listing")
-    known = _get(spark, f"{path}/source", schema.SOURCE)
+    known = store.read(spark, path, "source", schema.SOURCE, at)
     changed = staged(manifest.changed_files(files, known), "changed")
     report = SyncReport(scanned=files.count(), issues_by_code={})
     todo = [r.path for r in changed.select("path").toLocalIterator()]
@@ -182,81 +177,104 @@ def sync(spark: SparkSession, path: str, *sources: str, index_files: tuple[str,
         return report
     # Paths are names only; what they hold is read by tasks.
     x = extract(spark, *todo, side_folders=sources, index_files=index_files)
-    old = load(spark, path)
+    old = load(spark, path, at)
     x, states = _admitted(x, staged(old.user_state, "states"), old.session)
-    report.ingested = x.session.count()
-    report.refused = len(todo) - report.ingested
+    states = staged(states, "states")
+    x.session = staged(x.session, "admitted")
+    named = staged(changed.join(x.files, "path", "left"), "read-files")
     report.issues_by_code = {r.code: r["count"] for r in x.issue.groupBy("code").count().collect()}
     report.issues = sum(report.issues_by_code.values())
 
-    new_ids = staged(x.session.select(V("id").alias("session_id")), "new-sessions")
+    new_ids = x.session.select(V("id").alias("session_id"))
     # Sessions whose file says something else now: all that the changed files gave before.
     gone = known.join(changed.select("path"), "path", "left_semi").select("session_id").where("session_id IS NOT NULL")
     touched = staged(new_ids.union(gone).union(user_state.deleted_sessions(old.session, states).select(V("id").alias("session_id"))).distinct(), "touched")
-    folders = [r.folder for r in touched.select(_folder(V("session_id")).alias("folder")).distinct().collect()]  # at most FOLDERS
-    for name, ddl in {**_BY_SESSION, "session": schema.SESSION}.items():
-        key = "id" if name == "session" else "session_id"
-        before = _get(spark, f"{path}/{name}", ddl).where(_folder(V(key)).isin(*folders))
+    total = sum(r["n"] for r in old.session.agg(F.count("*").alias("n")).collect()) + x.session.count()
+    change = store.Change(spark, path, at, store.grown(at.folders, total))
+    redealt = change.folders != at.folders
+    folders = None if redealt or not at.tables else _folders_of(touched, "session_id", at.folders)
+    for name, ddl in _ALL.items():
+        key = _KEYS[name]
+        before = store.read(spark, path, name, ddl, at, folders)
         kept = before.join(touched.select(V("session_id").alias(key)), key, "left_anti").select(before.columns)
-        rows = staged(kept.unionByName(shaped(getattr(x, name), ddl)), name)
-        _clear(spark, f"{path}/{name}", folders)
-        _put(rows, f"{path}/{name}", key)
-    _replace(shaped(states, schema.USER_STATE), f"{path}/user_state")
-
-    session = staged(load(spark, path).session, "session")  # the links it is read with are replaced
-    linked = enrich.with_parents(session.drop("parent_session_id"), _with_tool(_get(spark, f"{path}/block", schema.BLOCK), session))
-    _replace(linked.select("id", "parent_session_id", "spawn_tool_use_id"), f"{path}/link")
-    _replace(projects(session, git_files), f"{path}/project")
-    read = changed.join(x.session.select(V("source_path").alias("path"), V("id").alias("session_id")), "path", "left").join(x.issue.select(V("source_path").alias("path")).distinct().withColumn("odd", F.lit(True)), "path", "left")
-    status = F.when(V("session_id").isNull(), "skipped_deleted").when(V("odd"), "ok_with_issues").otherwise("ok")
-    read = read.select("path", "tool", "size", "mtime", F.lit(manifest.REVISION).alias("revision"), "session_id", status.alias("status"))
-    _replace(shaped(known.join(changed.select("path"), "path", "left_anti").unionByName(read), schema.SOURCE), f"{path}/source")
+        change.put(name, kept.unionByName(shaped(getattr(x, name), ddl)), ddl, key, folders)
+    change.put("user_state", states, schema.USER_STATE)
+
+    # The tables as the change leaves them, before it is valid.
+    ahead = store.Manifest(change.before.number, change.folders, change.tables)
+    session = store.read(spark, path, "session", schema.SESSION, ahead)
+    links = store.read(spark, path, "link", LINK, at).join(touched.select(V("session_id").alias("id")), "id", "left_anti")
+    block = store.read(spark, path, "block", schema.BLOCK, ahead)
+    found = _links(session, links, block, touched, x)
+    change.put("link", found, LINK, "id")
+    change.put("project", projects(session, git_files), schema.PROJECT)
+    lost = named.where("session_id IS NOT NULL").join(new_ids, "session_id", "left_anti").select("path", F.lit(True).alias("lost"))
+    odd = x.issue.select(V("source_path").alias("path"), F.lit(True).alias("odd")).distinct()
+    status = F.when(V("session_id").isNull(), "empty").when(V("lost"), "skipped_deleted").when(V("odd"), "ok_with_issues").otherwise("ok")
+    read = named.join(lost, "path", "left").join(odd, "path", "left").withColumn("status", status)
+    read = staged(read.select("path", "tool", "size", "mtime", F.lit(manifest.REVISION).alias("revision"), F.when(~V("status").isin("skipped_deleted"), V("session_id")).alias("session_id"), "status"), "read")
+    said = {r.status: r["count"] for r in read.groupBy("status").count().collect()}
+    report.refused, report.empty = said.get("skipped_deleted", 0), said.get("empty", 0)
+    report.ingested = len(todo) - report.refused - report.empty
+    change.put("source", known.join(changed.select("path"), "path", "left_anti").unionByName(shaped(read, schema.SOURCE)), schema.SOURCE, "path")
+    change.commit()
+    for df in (files, changed, states, x.session, named, touched, read):
+        unstage(df)
     return report
 
 
-def _clear(spark: SparkSession, path: str, folders: list[int]) -> None:
-    """Folders that end up without rows aren't overwritten, so they are deleted first."""
-    from sessionloom.staging import _file_system
-
-    for k in folders:
-        files, p = _file_system(spark, f"{path}/folder={k}")
-        files.delete(p, True)
+def _links(session: DataFrame, links: DataFrame, block: DataFrame, touched: DataFrame, x: Extracted) -> DataFrame:
+    """Links of all sessions: those that stand, and those of subagents that are new, that have
+    no parent, whose parent or root was read again, or whose tool use was."""
+    subs = session.where("is_subagent").select("id", "tool", "source_session_id", "root_source_session_id", "spawn_tool_use_id")
+    known = subs.join(links.select("id", "parent_session_id", V("spawn_tool_use_id").alias("found_use")), "id", "left")
+    again = touched.select(V("session_id").alias("again"))
+    roots = x.session.select("tool", F.explode(F.array_compact(F.array("source_session_id", "root_source_session_id"))).alias("root_source_session_id")).distinct()
+    uses = x.block.where("type = 'tool_use' AND tool_use_id IS NOT NULL").select(V("tool_use_id").alias("use")).distinct()
+    use = F.coalesce("spawn_tool_use_id", "found_use")
+    openly = known.where("parent_session_id IS NULL").select("id")
+    openly = openly.union(known.join(again, V("id") == V("again"), "left_semi").select("id")).union(known.join(again, V("parent_session_id") == V("again"), "left_semi").select("id"))
+    openly = staged(openly.union(known.join(roots, ["tool", "root_source_session_id"], "left_semi").select("id")).union(known.join(uses, use == V("use"), "left_semi").select("id")).distinct(), "open-links")
+    if openly.isEmpty():
+        return session.select("id").join(links, "id", "left")
+    linked = enrich.with_parents(session.drop("parent_session_id"), _with_tool(block, session), openly).join(openly, "id", "left_semi").select("id", "parent_session_id", "spawn_tool_use_id")
+    rest = session.select("id").join(openly, "id", "left_anti").join(links, "id", "left")
+    return rest.select("id", "parent_session_id", "spawn_tool_use_id").unionByName(linked)
 
 
 def set_state(spark: SparkSession, path: str, session_id: int, state: str) -> bool:
     """``archived``, ``visible`` or ``deleted``.  False if there is no such session."""
-    archive = load(spark, path)
+    at = store.manifest(spark, path)
+    archive = load(spark, path, at)
     if archive.session.where(V("id") == session_id).isEmpty():
         return False
     states, removed = user_state.set_state(archive.session, archive.block, archive.user_state, session_id, state)
-    states = staged(states, "states")
     removed = staged(removed, "removed")
-    folders = [r.folder for r in removed.select(_folder(V("id")).alias("folder")).distinct().collect()]
+    change = store.Change(spark, path, at)
+    folders = _folders_of(removed, "id", at.folders)
     if folders:
-        for name, ddl in {**_BY_SESSION, "session": schema.SESSION}.items():
-            key = "id" if name == "session" else "session_id"
-            rows = _get(spark, f"{path}/{name}", ddl).where(_folder(V(key)).isin(*folders))
-            rows = staged(rows.join(removed.select(V("id").alias(key)), key, "left_anti").select(rows.columns), name)
-            _clear(spark, f"{path}/{name}", folders)
-            _put(rows, f"{path}/{name}", key)
-        links = _get(spark, f"{path}/link", "id long, parent_session_id long, spawn_tool_use_id string").join(removed, "id", "left_anti")
+        for name, ddl in _ALL.items():
+            rows = store.read(spark, path, name, ddl, at, folders)
+            change.put(name, rows.join(removed.select(V("id").alias(_KEYS[name])), _KEYS[name], "left_anti"), ddl, _KEYS[name], folders)
+        links = store.read(spark, path, "link", LINK, at).join(removed, "id", "left_anti")
         parents = removed.select(V("id").alias("parent_session_id"), F.lit(True).alias("gone"))
-        links = links.join(parents, "parent_session_id", "left").select("id", F.when(V("gone").isNull(), V("parent_session_id")).alias("parent_session_id"), "spawn_tool_use_id")
-        _replace(links, f"{path}/link")
-        known = _get(spark, f"{path}/source", schema.SOURCE).join(removed.select(V("id").alias("session_id"), F.lit(True).alias("gone")), "session_id", "left")
-        known = known.withColumn("status", F.when(V("gone"), "skipped_deleted").otherwise(V("status"))).withColumn("session_id", F.when(V("gone").isNull(), V("session_id")))
-        _replace(shaped(known, schema.SOURCE), f"{path}/source")
-    _replace(shaped(states, schema.USER_STATE), f"{path}/user_state")
+        change.put("link", links.join(parents, "parent_session_id", "left").withColumn("parent_session_id", F.when(V("gone").isNull(), V("parent_session_id"))), LINK, "id")
+        known = store.read(spark, path, "source", schema.SOURCE, at).join(removed.select(V("id").alias("session_id"), F.lit(True).alias("gone")), "session_id", "left")
+        change.put("source", known.withColumn("status", F.when(V("gone"), "skipped_deleted").otherwise(V("status"))).withColumn("session_id", F.when(V("gone").isNull(), V("session_id"))), schema.SOURCE, "path")
+    change.put("user_state", states, schema.USER_STATE)
+    change.commit()
+    unstage(removed)
     return True
 
 
 def info(spark: SparkSession, path: str) -> dict:
     """Schema version and row counts."""
-    counts = {name: _get(spark, f"{path}/{name}", ddl).count() for name, ddl in schema.TABLES.items() if name in ("session", "message", "tool_call")}
+    at = store.manifest(spark, path)
+    counts = {name: store.read(spark, path, name, ddl, at).count() for name, ddl in schema.TABLES.items() if name in ("session", "message", "tool_call")}
     return {"path": path, "schema_version": schema.SCHEMA_VERSION, **counts}
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Write every table anew, in few files."""
-    a = load(spark, path)
-    save(replace(a, **{n: staged(getattr(a, n).coalesce(FOLDERS), n) for n in schema.TABLES}), path)
+    """Write every table anew, each folder in as few files as one change writes."""
+    at = store.manifest(spark, path)
+    save(load(spark, path, at), path, at.folders)

@@ -173,16 +173,18 @@ def work_types(msgs: DataFrame, blks: DataFrame, facts: DataFrame, refs: DataFra
 # Subagents.
 
 
-def with_parents(session: DataFrame, blks: DataFrame, first_messages: DataFrame | None = None) -> DataFrame:
+def with_parents(session: DataFrame, blks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``session`` with ``parent_session_id`` of its subagents, and with what can be inferred of
     how they were spawned where nothing was said.
 
     The root is the session whose id a subagent names.  The spawner is the session that holds
     the tool use which spawned it (subagents first, then the newest use); the second
     producer's is found by the child's id in the result of a ``spawn_agent`` call of the root.
+    With ``only(id)``, parents of those subagents alone are sought.
     """
     out = session.drop("parent_session_id")
-    subs = out.where("is_subagent").select("id", "tool", "source_session_id", V("root_source_session_id").alias("root_key"), V("spawn_tool_use_id").alias("use_id"))
+    subs = out.where("is_subagent")
+    subs = (subs if only is None else subs.join(only, "id", "left_semi")).select("id", "tool", "source_session_id", V("root_source_session_id").alias("root_key"), V("spawn_tool_use_id").alias("use_id"))
     named = out.select("tool", V("source_session_id").alias("root_key"), V("id").alias("by_id"))
     # A main session may go by the id its records give it, another one than its file's name.
     main = out.where("NOT is_subagent AND root_source_session_id IS NOT NULL").groupBy("tool", V("root_source_session_id").alias("root_key")).agg(F.max("id").alias("by_record"))

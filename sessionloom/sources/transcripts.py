@@ -451,8 +451,10 @@ def thread_titles(spark: SparkSession, *index_files: str) -> DataFrame:
     return named.groupBy("source_session_id").agg(F.max_by("thread_name", F.struct("f", "b", "r")).alias("thread_name"))
 
 
-def parsed(spark: SparkSession, *paths: str) -> DataFrame:
-    """The staged records of the transcripts, one file for each session."""
+def parsed(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """The staged records of the transcripts, one file for each session, and ``(path,
+    session_id)`` of every file that has a record."""
     recs = staged(records(lines(spark, *paths)), "records")
+    files = staged(recs.select("path", "session_id").distinct(), "files")
     lost = superseded(recs)
-    return recs if lost.isEmpty() else staged(recs.join(lost, "path", "left_anti"), "records")
+    return (recs if lost.isEmpty() else staged(recs.join(lost, "path", "left_anti"), "records")), files

@@ -45,20 +45,6 @@ def make_dir(spark: SparkSession, path: str) -> str:
     return path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    files, p = _file_system(spark, path)
-    return files.exists(p)
-
-
-def replace_dir(spark: SparkSession, new: str, old: str) -> None:
-    """Put the folder ``new`` in the place of ``old``."""
-    files, a = _file_system(spark, new)
-    _, b = _file_system(spark, old)
-    files.delete(b, True)
-    files.mkdirs(b.getParent())
-    files.rename(a, b)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a
     lost executor costs a re-read instead of a re-computation."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Archives that follow their transcripts."""

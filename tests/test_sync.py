@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
+import pytest
 import transcripts_fixture as fx
 from pyspark.sql import functions as F
-from sessionloom import ingest
+from sessionloom import ingest, schema, store
 from sessionloom.operators import lineage, user_state
 
 ROOT = [fx.user("start", fx.at(0), sessionId="p"), fx.reply([fx.use("Task", {"prompt": "go"}, "sp")], fx.at(0, 1), fx.usage(1, 1), request="a", sessionId="p")]
@@ -70,3 +71,104 @@ def test_lineage_has_no_depth(spark):
     assert whole[0, 8] == 8 and whole[20, 21] == 1 and whole[21, 20] == 1 and (99, 30) not in whole
     assert max(r.depth for r in lineage.closure(session).collect()) == 5
     assert lineage.hidden(session, states.limit(0)).count() == 0
+
+
+def tables(archive):
+    """All rows of an archive but for what tells files apart."""
+    return {name: sorted(map(repr, getattr(archive, name).collect())) for name in ("session", "message", "block", "tool_call", "file_ref", "issue", "user_state", "project")}
+
+
+def few_folders(monkeypatch, n):
+    monkeypatch.setattr(store, "manifest", lambda spark, path, read=store.manifest: (lambda m: m if m.number else store.Manifest(folders=n))(read(spark, path)))
+
+
+class Broken(Exception):
+    pass
+
+
+def test_sync_that_ends_early_loses_nothing(spark, tmp_path, monkeypatch):
+    logs, out = tmp_path / "logs", str(tmp_path / "archive")
+    few_folders(monkeypatch, 2)  # sessions share folders
+    fx.write(logs / "p.jsonl", ROOT)
+    fx.write(logs / "o.jsonl", OTHER)
+    ingest.sync(spark, out, str(logs))
+    before = tables(ingest.load(spark, out))
+    fx.write(logs / "o.jsonl", [*OTHER, fx.user("more", fx.at(3), sessionId="o")])
+    os.utime(logs / "o.jsonl", (1_800_000_000, 1_800_000_000))
+    steps, put, commit = [], store.Change.put, store.Change.commit
+    monkeypatch.setattr(store.Change, "put", lambda self, name, *a, **k: (steps.append(name), put(self, name, *a, **k))[1])
+    fail_at = ["block", "link", "commit"]
+    for name in fail_at:
+        def broken(self, *a, name=name, **k):
+            if name in (*a[:1], "commit"):
+                raise Broken
+            return put(self, *a, **k)
+
+        monkeypatch.setattr(store.Change, "commit" if name == "commit" else "put", broken)
+        with pytest.raises(Broken):
+            ingest.sync(spark, out, str(logs))
+        monkeypatch.setattr(store.Change, "put", put)
+        monkeypatch.setattr(store.Change, "commit", commit)
+        assert tables(ingest.load(spark, out)) == before
+    # The next sync does it all, and equals a full build.
+    report = ingest.sync(spark, out, str(logs))
+    assert (report.ingested, report.skipped) == (1, 1)
+    assert tables(ingest.load(spark, out)) == tables(ingest.build(spark, str(logs)))
+
+
+def test_two_changes_at_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.range(3).select("id", F.lit("a").alias("v"))
+    one, two = store.Change(spark, path), store.Change(spark, path)
+    one.put("t", rows, "id long, v string", "id")
+    two.put("t", rows.limit(1), "id long, v string", "id")
+    one.commit()
+    with pytest.raises(store.Conflict):
+        two.commit()
+    assert store.read(spark, path, "t", "id long, v string").count() == 3
+
+
+def test_store_reads_and_keeps_only_what_is_named(spark, tmp_path):
+    path, ddl = str(tmp_path / "s"), "id long, v string"
+    first = store.Change(spark, path)
+    first.put("t", spark.range(200).select("id", F.lit("a").alias("v")), ddl, "id")
+    at = first.commit()
+    some = store.read(spark, path, "t", ddl, at, [3, 5])
+    assert {f.split("folder=")[1].split("/")[0] for f in some.inputFiles()} == {"3", "5"}
+    assert {r.k for r in some.select(store.folder_of(F.col("id"), at.folders).alias("k")).distinct().collect()} == {3, 5}
+    for n in range(3):  # generations that no manifest names go
+        change = store.Change(spark, path)
+        rows = store.read(spark, path, "t", ddl, folders=[n])
+        change.put("t", rows if n < 2 else rows.limit(0), ddl, "id", [n])
+        change.commit()
+    oldest = min(p.name for p in (tmp_path / "s" / "t").iterdir())
+    left = {p.name for p in (tmp_path / "s" / "t" / oldest).iterdir()}
+    assert not {"folder=0", "folder=1"} & left and "folder=2" in left  # the last change's former state stays readable
+    assert len(list((tmp_path / "s" / "_manifest").glob("0*.json"))) == 2
+    assert {r.k for r in store.read(spark, path, "t", ddl).select(store.folder_of(F.col("id"), at.folders).alias("k")).collect()}.isdisjoint({2})
+    assert store.grown(64, 64 * 512) == 64 and store.grown(64, 64 * 512 + 1) == 128
+
+
+def test_folders_double_as_the_archive_grows(spark, tmp_path, monkeypatch):
+    logs, out = tmp_path / "logs", str(tmp_path / "archive")
+    monkeypatch.setattr(store, "KEYS_PER_FOLDER", 1)
+    few_folders(monkeypatch, 1)
+    for i in range(2):
+        fx.write(logs / f"a{i}.jsonl", [fx.user(f"hello {i}", fx.at(i), sessionId=f"a{i}")])
+    ingest.sync(spark, out, str(logs))
+    fx.write(logs / "b.jsonl", [fx.user("three", fx.at(3), sessionId="b")])
+    fx.write(logs / "blank.jsonl", [" ", ""])
+    report = ingest.sync(spark, out, str(logs))
+    assert (report.ingested, report.empty) == (1, 1)
+    assert store.manifest(spark, out).folders >= 4
+    assert tables(ingest.load(spark, out)) == tables(ingest.build(spark, str(logs)))
+
+
+def test_two_files_of_one_session_are_both_read(spark, tmp_path):
+    logs, out = tmp_path / "logs", str(tmp_path / "archive")
+    fx.write(logs / "rollout-1.jsonl", fx.CODEX)
+    fx.write(logs / "archived_sessions" / "rollout-1.jsonl", fx.CODEX)
+    report = ingest.sync(spark, out, str(logs))
+    assert (report.scanned, report.ingested, report.refused) == (2, 2, 0)
+    known = store.read(spark, out, "source", schema.SOURCE).collect()
+    assert len({r.session_id for r in known}) == 1 and {r.status for r in known} == {"ok_with_issues", "ok"} or {r.status for r in known} == {"ok_with_issues"}
