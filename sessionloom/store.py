@@ -93,13 +93,17 @@ class Change:
         self.tables = {name: dict(valid) for name, valid in self.before.tables.items()}
         self.facts = dict(self.before.facts)
 
-    def put(self, name: str, rows: DataFrame, ddl: str, key: str | None = None, folders: list[int] | None = None) -> None:
+    def put(self, name: str, rows: DataFrame, ddl: str, key: str | None = None, folders: list[int] | None = None, sort: list[str] | None = None, spread: str | None = None) -> None:
         """``rows`` in the place of the table's ``folders``, or of the whole table; a table
-        without a key is one folder.  Folders that get no rows are empty from now on."""
+        without a key is one folder.  Folders that get no rows are empty from now on.  Rows
+        of a folder are dealt to ``PARTS`` files by ``spread`` (the key, if it isn't named),
+        and sorted in each if ``sort`` says how."""
         rows = shaped(rows, ddl)
         at = rows.withColumn("folder", folder_of(F.col(key), self.folders) if key else F.lit(0))
         if key:
-            at = at.repartition("folder", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(PARTS)))
+            at = at.repartition("folder", F.pmod(F.xxhash64(spread or key, F.lit(1)), F.lit(PARTS)))
+            if sort:
+                at = at.sortWithinPartitions("folder", *sort)
         target = f"{self.path}/{name}/generation={self.generation}"
         at.write.partitionBy("folder").parquet(target)
         files, p = _file_system(self.spark, target)
