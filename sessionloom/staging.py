@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,17 @@ def unstage(df: DataFrame) -> None:
     if path:
         files, p = _file_system(df.sparkSession, path)
         files.delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sessionloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp(prefix="sessionloom-code-")) / "sessionloom_code.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("sessionloom") / p.relative_to(root))
+    sc.addPyFile(str(zipped))
+    sc._sessionloom_shipped = True
