@@ -28,8 +28,8 @@ DEGREE, TREES, LEAF = 16, 4, 192
 CHANGED = 0.01
 #: Members introduced to each other around a node, and introductions each one keeps.
 MEETING, KEPT = 32, 10
-#: Length of a query's list, nodes it expands in a round, pivots, and rounds at most.
-BEAM, EXPANDED, PIVOTS, STEPS = 96, 12, 1024, 40
+#: Length of a query's list, nodes it expands in a round, and pivots.
+BEAM, EXPANDED, PIVOTS = 96, 12, 1024
 NEAREST = 10
 
 
@@ -208,7 +208,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     begun = queries.select("query_id", "vec").join(nodes.select("vec", "node"), "vec", "left").select("query_id", "vec", "node")
     state = staged(begun.mapInArrow(begin, schema), "ann-search")
     finished = []
-    for _ in range(STEPS):
+    while True:  # a query expands a node once, so every query ends
         open_ = state.where("size(next) > 0")
         finished.append(state.where("size(next) = 0"))
         if open_.isEmpty():
@@ -219,8 +219,6 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         none = F.array().cast("array<long>"), F.array().cast("array<float>")
         told = open_.drop("next").join(met, "query_id", "left").select("query_id", "vec", "found", "dist", "done", F.coalesce("ids", none[0]).alias("ids"), F.coalesce("flat", none[1]).alias("flat"))
         state = staged(told.mapInArrow(proceed, schema), "ann-search")
-    else:
-        finished.append(state)
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)

@@ -26,11 +26,11 @@ from sessionloom.llm.common import ship
 SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?:script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?(?<!/)>"
+    r"<!--.*?(?:--!?>|\Z)|<(?:script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|annotation)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?(?<!/)>"
     r"|<[!?][^>]*>?|</?[a-zA-Z](?:[^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?|[^<]+|<",
     re.S | re.I,
 )
-_RAW = frozenset("script style noscript template svg iframe textarea select object canvas title math".split())
+_RAW = frozenset("script style noscript template svg iframe textarea select object canvas title annotation".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -51,6 +51,12 @@ _NAMES = frozenset(
     footer masthead topbar toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond
     login search skip sr hidden""".split()
 )
+#: Words that such names are put together with.
+_LAYOUT = frozenset(
+    """list box section wrapper wrap container area block item items bar links link post posts article articles story stories content main inner outer header
+    title body row col column grid group panel card cards module unit slot top bottom left right primary secondary site page global local mobile desktop fixed
+    sticky inline js wp text button buttons icons icon form field message strip tags tag feed thread threads count info more latest popular trending""".split()
+)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _CONTENT = frozenset(("article", "main"))
 #: Opening one of these ends an open p; opening a key ends an open element of its values.
@@ -62,15 +68,18 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 def _never_content(name: str, tag: str) -> int:
     """0: no.  1: by a rule that doesn't hold for wrappers of the page's content (names in
-    class and id, forms).  2: by another rule."""
+    class and id, forms).  2: by another rule.  3: by a name that has other words in it, such
+    as related-work, which says so only of what is mostly links."""
     if name in _OUTSIDE:
         return 1 if name in _WRAPPING else 2
     found = 0
     for key, a, b, c in _ATTRIBUTES.findall(tag, 1 + len(name)) if len(tag) > len(name) + 2 else ():
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if not _NAMES.isdisjoint(x.lower() for x in _PART.findall(value)):
-                found = 1
+            for own in value.split():
+                parts = {x.lower() for x in _PART.findall(own) if not x.isdigit()}
+                if not _NAMES.isdisjoint(parts):
+                    found = 1 if found == 1 or parts <= _NAMES | _LAYOUT else 3
         elif key == "role":
             if value.lower() in _ROLES:
                 return 2
@@ -83,13 +92,14 @@ class Elements:
     """The page's elements in the order of their openings; 0 stands for the page itself."""
 
     def __init__(self):
-        self.names, self.parents, self.never, self.words = [""], [-1], [0], [0]
+        self.names, self.parents, self.never, self.words, self.linked = [""], [-1], [0], [0], [0]
 
     def open(self, name: str, parent: int, never: int) -> int:
         self.names.append(name)
         self.parents.append(parent)
         self.never.append(never)
         self.words.append(0)
+        self.linked.append(0)
         return len(self.names) - 1
 
     def ancestors(self, some) -> set[int]:
@@ -130,9 +140,11 @@ class Elements:
         in nothing that is never content, else the longest.
         """
         n = len(self.names)
-        total = self.words[:]
+        total, linked = self.words[:], self.linked[:]
         for e in range(n - 1, 0, -1):
             total[self.parents[e]] += total[e]
+            linked[self.parents[e]] += linked[e]
+        self.never = [(1 if 2 * k >= t else 0) if x == 3 else x for x, t, k in zip(self.never, total, linked, strict=True)]
         kept = {e for e in range(n) if self.names[e] in ("html", "body")}
         articles = sorted((e for e in range(n) if self.names[e] == "article"), key=lambda e: -total[e])
         mains = [e for e in range(n) if self.names[e] == "main"]
@@ -200,7 +212,9 @@ def _walk(page: str, elements: Elements):
             token = m.group()
         if token[0] != "<" or len(token) == 1 or token[1] not in "/!?" and not token[1].isalpha():
             text = entities.unescape(token)
-            elements.words[at] += len(text.split())
+            n = len(text.split())
+            elements.words[at] += n
+            elements.linked[at] += n if links else 0
             yield "text", text, at, links > 0
             continue
         named = _NAME.match(token)
@@ -220,7 +234,7 @@ def _walk(page: str, elements: Elements):
                 yield "text", " ", at, links > 0
             continue
         if name in _RAW:
-            if token.endswith("/>") and name in ("svg", "math"):
+            if token.endswith("/>") and name == "svg":
                 continue
             lower = page.lower() if lower is None else lower
             end = lower.find("</" + name, m.end())
@@ -323,11 +337,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by an empty line.
 
     White space in a block becomes one space.  A page without words outside of menus and
-    the like has an empty text.  Of regions with equal scores the first and longest wins.
-    Words outside of the page's articles and main count against a region, on pages that
-    have any.  The region's first and last block come whole, and a region inside of an
-    article or main grows to the innermost one that holds all of it: a heading or a last
-    line beside some tags belongs to the text although it scores little.
+    the like has an empty text.  Of regions with equal scores the first and longest wins,
+    whatever elements it lies in.  The region's first and last block come whole, and a
+    region inside of an article or main grows to the innermost one that holds all of it: a
+    heading or a last line beside some tags belongs to the text although it scores little.
+    Very long pages take time and memory in proportion to their length.
     """
     if not page:
         return ""
@@ -336,19 +350,15 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     best = total = 0.0
     start = 0
     region = None
-    marked = any(x[3] >= 0 and not x[2] and x[0] == "text" and x[1].strip() for x in row)
-    for i, (kind, value, out, content, in_link) in enumerate(row):
+    for i, (kind, value, out, _, in_link) in enumerate(row):
         if out or kind == "break":
             continue
         if kind == "tag":
             total += weights.get("tag:" + value.removeprefix("/"), other)
         elif n := len(value.split()):
-            score = n * (link if in_link else word)
-            if marked and content < 0:
-                score = -score
             if total <= 0:
                 total, start = 0.0, i
-            total += score
+            total += n * (link if in_link else word)
         if total > best:
             best, region = total, (start, i)
     if region is None:

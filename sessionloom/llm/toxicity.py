@@ -93,9 +93,11 @@ def _least(toxic: list[str]) -> int:
 
 def _grams(text: str) -> tuple[list[bytes], list[np.ndarray]]:
     """The text's words without punctuation around them, and the hashes of its runs of one
-    to ``GRAM`` words.  Hashes hold within one process, which is all that training needs."""
+    to ``GRAM`` words, the same in every process."""
+    import xxhash
+
     words = [w.strip(_EDGE) or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
-    one = np.fromiter(map(hash, words), np.int64, len(words))
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).astype(np.int64)
     runs = [one]
     for n in range(1, min(GRAM, len(words))):
         runs.append(runs[-1][:-1] * _FACTOR + one[n:])
@@ -138,15 +140,17 @@ def _own_phrases(toxic: list[str], ordinary: list[str], ratio: float = 30.0) ->
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """zstandard's dictionary of the samples; of too few or too short ones, as many distinct
-    samples as fit, the most frequent last."""
+    """zstandard's dictionary of the samples; few are said again until they are enough to
+    train on, and where that doesn't help, as when all are a few bytes, they are joined.  Of
+    none, nothing."""
     import zstandard as z
 
-    if len(samples) >= 50:
+    said = list(samples)
+    while said and len(said) <= TRAINED:
         try:
-            return z.train_dictionary(size, samples, k=32, d=6).as_bytes()
+            return z.train_dictionary(size, said, k=32, d=6).as_bytes()
         except z.ZstdError:
-            pass
+            said += said
     return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
 
 

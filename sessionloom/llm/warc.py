@@ -75,7 +75,8 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def archive(records: list[bytes], level: int = LEVEL) -> bytes:
-    """The bytes of an archive.  Too few records for a dictionary: none, and no such frame."""
+    """The bytes of an archive.  Few records are given to the training again until they are
+    enough for it.  An archive without records is empty, without such a frame."""
     import zstandard
 
     sample, size = [], 0
@@ -84,12 +85,12 @@ def archive(records: list[bytes], level: int = LEVEL) -> bytes:
     for r in records[:: max(1, -(-len(records) // SAMPLE_RECORDS), -(-whole // SAMPLE_BYTES))]:
         sample.append(r[:SAMPLE_EACH])
         size += len(sample[-1])
-    dictionary = None
-    if len(sample) >= 8:
+    dictionary, said = None, list(sample)
+    while said and dictionary is None and len(said) <= SAMPLE_RECORDS + 64:
         try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 8)), sample)
+            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 8)), said)
         except zstandard.ZstdError:
-            dictionary = None
+            said += said
     out = []
     if dictionary is not None:
         raw = dictionary.as_bytes()

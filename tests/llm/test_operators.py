@@ -318,6 +318,14 @@ def test_records_are_complete(spark):
     assert len(revisits) == 10 and all(x["WARC-Refers-To"] in ids and x["WARC-Refers-To-Target-URI"] for x in revisits)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_small_archives_have_a_dictionary_too(n):
+    records = [f"WARC/1.1\r\nWARC-Record-ID: {i}\r\nContent-Length: 5\r\n\r\nab{i}de".encode() for i in range(n)]
+    data = warc.archive(records)
+    assert data[:4] == warc.struct.pack("<I", warc.SKIPPABLE) and list(warc.records_of(data)) == records
+    assert warc.archive([]) == b"" and list(warc.records_of(b"")) == []
+
+
 def test_archive_starts_with_its_dictionary():
     records = [warc.record(warc.record_id(i), "2024-01-01T00:00:00Z", i, "http://x", b"<html>" + b"same words " * 40 + str(i).encode(), "0" * 64) for i in range(200)]
     records[3] = warc.record(warc.record_id(3), "2024-01-01T00:00:00Z", 3, "http://x", b"q" * 9_000_000, "0" * 64)
@@ -598,6 +606,77 @@ def test_weights_count_a_page_once(spark):
     assert html_extract.fit_weights(one.limit(0)) == html_extract.DEFAULT_WEIGHTS
 
 
+TEXT = "Some words of the text stand here and go on for a while. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article>Five words of a teaser</article><div>{}</div></body>",
+        "<body><nav><a href=x>Home</a></nav><div><article class=card><a href=y>Read on</a></article></div><div id=page>{}</div><footer>Imprint</footer></body>",
+        "<body><div class=header>Name</div><div>{}</div><div class=sidebar><a href=x>One</a> <a href=y>Two</a></div></body>",
+        "<body><header>Name</header>{}<ul class='nav'><li><a href=x>One</a><li><a href=y>Two</a></ul></body>",
+    ],
+)
+def test_pages_whose_articles_are_missing_or_elsewhere(page):
+    # The scan may take in a few words beside the text, but never leaves the text for them.
+    text = html_extract.main_text(page.format(f"<p>{TEXT}</p>"), html_extract.DEFAULT_WEIGHTS)
+    assert text.endswith(TEXT.strip()) and len(text) <= len(TEXT) + 30
+
+
+@pytest.mark.parametrize("opening", ["section id=related-work", "div id=reply-to-critics", "p class=notice-of-motion", "div class='social-theory long'", "math"])
+def test_names_that_only_hold_such_words_are_content(opening):
+    text = f"Before it.\n\n{TEXT.strip()}\n\nAfter it." if opening != "math" else f"Before it.{TEXT.rstrip()}After it."
+    name = opening.split()[0]
+    page = f"<article><p>Before it.</p><{opening}>{TEXT}</{name}><p>After it.</p></article>"
+    if opening == "math":
+        page = f"<article><p>Before it.<math>{TEXT.rstrip()}<annotation>TeX</annotation></math>After it.</p></article>"
+    assert html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS) == text
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-notice", "related-posts", "newsletter-box", "shareButtons", "comments comment-list", "promo banner", "sponsored-links"])
+def test_blocks_with_such_names_are_no_content(name):
+    page = f"<article><p>{TEXT}</p><div class='{name}'><p>{'Other words that stand there. ' * 9}</p></div><p>End.</p></article>"
+    assert html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS) == f"{TEXT.strip()}\n\nEnd."
+    links = f"<article><p>{TEXT}</p><div id='see-also-related'><a href=x>One of them</a> or <a href=y>the other one</a></div></article>"
+    assert html_extract.main_text(links, html_extract.DEFAULT_WEIGHTS) == TEXT.strip()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_the_scan_equals_all_contiguous_runs(seed):
+    rng = np.random.default_rng(seed)
+    weights = {"word": 1.0, "link": 0.3, "tag": -1.5, "tag:b": -0.4}
+    parts = []
+    for i in range(int(rng.integers(2, 9))):
+        body = " ".join(f"w{i}x{j}" for j in range(int(rng.integers(0, 9))))
+        parts.append(str(rng.choice([f"<div>{body}</div>", f"<div><b>{body}</b></div>", f"<div><a href=x>{body}</a></div>", "<div><i></i><i></i></div>", f"<nav>{body}</nav>"])))
+    row, _ = html_extract.items("<body>" + "".join(parts) + "</body>")
+
+    def score(x):
+        kind, value, out, _, link = x
+        if out or kind == "break":
+            return 0.0
+        return weights.get("tag:" + value.removeprefix("/"), weights["tag"]) if kind == "tag" else len(value.split()) * weights["link" if link else "word"]
+
+    runs = {(a, b): sum(map(score, row[a:b])) for a in range(len(row)) for b in range(a + 1, len(row) + 1)}
+    best = max(runs.values())
+    text = html_extract.main_text("<body>" + "".join(parts) + "</body>", weights)
+    if best <= 0:
+        assert text == ""
+        return
+    # The text is one best run, its first and last block whole.
+    whole = set()
+    for (a, b), s in runs.items():
+        if abs(s - best) < 1e-9:
+            while a > 0 and row[a - 1][0] != "break":
+                a -= 1
+            while b < len(row) and row[b][0] != "break":
+                b += 1
+            blocks = "".join("\n" if x[0] == "break" else x[1] if x[0] == "text" and not x[2] else "" for x in row[a:b]).split("\n")
+            whole.add("\n\n".join(" ".join(x.split()) for x in blocks if x.split()))
+    assert text in whole
+
+
 def test_scan_finds_the_best_contiguous_run():
     page = "<div><a>x</a><a>y</a></div><div>" + "good words stand here " * 10 + "</div><div><a>z</a></div>"
     text = html_extract.main_text(page, html_extract.DEFAULT_WEIGHTS)
