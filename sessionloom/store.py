@@ -1,7 +1,7 @@
 """Tables on disk that change as a whole or not at all.
 
 A store is a folder of tables.  A table's rows lie in folders by a hash of their key, each
-folder in a generation: ``table/generation=G/folder=K``.  A manifest names the generation
+folder in a generation: ``table/store_generation=G/store_folder=K``.  A manifest names the generation
 in which each folder is valid.  A change writes new folders beside the old ones and then
 one new manifest; until that is there, readers see the store as it was, and whatever a
 change left behind that ended early is never read.  Folders that neither the newest
@@ -75,10 +75,10 @@ def read(spark: SparkSession, path: str, name: str, ddl: str, at: Manifest | Non
     """A table's rows; with ``folders``, only those folders are listed and read."""
     at = manifest(spark, path) if at is None else at
     valid = at.tables.get(name, {})
-    names = [f"{path}/{name}/generation={g}/folder={k}" for k, g in sorted(valid.items()) if folders is None or int(k) in folders]
+    names = [f"{path}/{name}/store_generation={g}/store_folder={k}" for k, g in sorted(valid.items()) if folders is None or int(k) in folders]
     if not names:
         return spark.createDataFrame([], ddl)
-    found = spark.read.schema(f"{ddl}, generation string, folder int").option("basePath", f"{path}/{name}").parquet(*names)
+    found = spark.read.schema(f"{ddl}, store_generation string, store_folder int").option("basePath", f"{path}/{name}").parquet(*names)
     return shaped(found, ddl)
 
 
@@ -99,15 +99,15 @@ class Change:
         of a folder are dealt to ``PARTS`` files by ``spread`` (the key, if it isn't named),
         and sorted in each if ``sort`` says how."""
         rows = shaped(rows, ddl)
-        at = rows.withColumn("folder", folder_of(F.col(key), self.folders) if key else F.lit(0))
+        at = rows.withColumn("store_folder", folder_of(F.col(key), self.folders) if key else F.lit(0))
         if key:
-            at = at.repartition("folder", F.pmod(F.xxhash64(spread or key, F.lit(1)), F.lit(PARTS)))
+            at = at.repartition("store_folder", F.pmod(F.xxhash64(spread or key, F.lit(1)), F.lit(PARTS)))
             if sort:
-                at = at.sortWithinPartitions("folder", *sort)
-        target = f"{self.path}/{name}/generation={self.generation}"
-        at.write.partitionBy("folder").parquet(target)
+                at = at.sortWithinPartitions("store_folder", *sort)
+        target = f"{self.path}/{name}/store_generation={self.generation}"
+        at.write.partitionBy("store_folder").parquet(target)
         files, p = _file_system(self.spark, target)
-        written = {s.getPath().getName().removeprefix("folder="): self.generation for s in files.listStatus(p) if s.isDirectory()}
+        written = {s.getPath().getName().removeprefix("store_folder="): self.generation for s in files.listStatus(p) if s.isDirectory()}
         kept = {} if folders is None else {k: g for k, g in self.tables.get(name, {}).items() if int(k) not in folders}
         self.tables[name] = kept | written
 
@@ -130,16 +130,16 @@ class Change:
 
 def _clean(spark: SparkSession, path: str, *valid: Manifest) -> None:
     for name in {n for m in valid for n in m.tables}:
-        used = {f"generation={g}" for m in valid for g in m.tables.get(name, {}).values()}
+        used = {f"store_generation={g}" for m in valid for g in m.tables.get(name, {}).values()}
         files, p = _file_system(spark, f"{path}/{name}")
         for s in files.listStatus(p) if files.exists(p) else ():
             g = s.getPath().getName()
-            if g.startswith("generation=") and g not in used:
+            if g.startswith("store_generation=") and g not in used:
                 files.delete(s.getPath(), True)
-            elif g.startswith("generation="):
-                live = {f"folder={k}" for m in valid for k, x in m.tables.get(name, {}).items() if g == f"generation={x}"}
+            elif g.startswith("store_generation="):
+                live = {f"store_folder={k}" for m in valid for k, x in m.tables.get(name, {}).items() if g == f"store_generation={x}"}
                 for f in files.listStatus(s.getPath()):
-                    if f.getPath().getName().startswith("folder=") and f.getPath().getName() not in live:
+                    if f.getPath().getName().startswith("store_folder=") and f.getPath().getName() not in live:
                         files.delete(f.getPath(), True)
     keep = {m.number for m in valid}
     for n in _numbers(spark, path):

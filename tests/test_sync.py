@@ -143,7 +143,7 @@ def test_store_reads_and_keeps_only_what_is_named(spark, tmp_path):
         change.commit()
     oldest = min(p.name for p in (tmp_path / "s" / "t").iterdir())
     left = {p.name for p in (tmp_path / "s" / "t" / oldest).iterdir()}
-    assert not {"folder=0", "folder=1"} & left and "folder=2" in left  # the last change's former state stays readable
+    assert not {"store_folder=0", "store_folder=1"} & left and "store_folder=2" in left  # the last change's former state stays readable
     assert len(list((tmp_path / "s" / "_manifest").glob("0*.json"))) == 2
     assert {r.k for r in store.read(spark, path, "t", ddl).select(store.folder_of(F.col("id"), at.folders).alias("k")).collect()}.isdisjoint({2})
     assert store.grown(64, 64 * 512) == 64 and store.grown(64, 64 * 512 + 1) == 128
