@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sessionloom import adapters as ad
 from sessionloom.functions import commands
 from sessionloom.functions.cost import usd
-from sessionloom.operators import context, distill, economics, lineage, search, signals, stats
+from sessionloom import schema
+from sessionloom.operators import activity, context, distill, economics, fuzzy, lineage, search, sessions, signals, stats, trajectory
+from sessionloom.schema import Archive
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -406,7 +408,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """, r AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'abandoned') AS a FROM session WHERE outcome IS NOT NULL),
     m AS (SELECT coalesce(model, '(unknown)') AS key, sum(cost_nano) AS c FROM session GROUP BY 1 ORDER BY c DESC, key LIMIT 1), q AS (SELECT sum(cost_nano) AS c FROM session),
     u AS (SELECT tool_name, tool_kind, mcp_server, count(*) AS calls, count(*) FILTER (is_error) AS errors FROM tool_call GROUP BY ALL),
-    x AS (SELECT 'signal:error:' || tool_name || '.' || tool_kind || coalesce('.' || mcp_server, '') AS key, round(errors::DOUBLE, 6) AS score FROM u WHERE calls >= 20 AND errors::DOUBLE / calls >= 0.12
+    x AS (SELECT 'signal:error:' || tool_name || '.h' || left(sha256(unhex(regexp_replace(hex('["' || tool_kind || '",' || coalesce('"' || mcp_server || '"', 'null') || ']'), '(..)', '\\100', 'g'))), 16) AS key, round(errors::DOUBLE, 6) AS score FROM u WHERE calls >= 20 AND errors::DOUBLE / calls >= 0.12
       UNION ALL SELECT 'signal:heavy-server:' || mcp_server, 2.0 FROM (SELECT mcp_server, sum(calls) AS calls FROM u WHERE mcp_server IS NOT NULL GROUP BY 1 ORDER BY calls DESC, mcp_server LIMIT 3) WHERE calls >= 50
       UNION ALL SELECT 'signal:heavy-tool:' || tool_name, 2.0 FROM (SELECT * FROM u WHERE tool_kind <> 'mcp' ORDER BY calls DESC, tool_name LIMIT 2) WHERE calls >= 200
       UNION ALL SELECT 'signal:cost-concentration', 5.0 FROM m, q WHERE q.c > 0 AND m.c::DOUBLE / q.c >= 0.4
@@ -521,3 +523,110 @@ def linkage_issues(spark: SparkSession, d: str) -> DataFrame:
     t = ad.event_tool_calls(spark, d)
     rows = t.select("session_id", F.col("id").cast("int").alias("seq"), F.lit(0).alias("ordinal"), F.when(F.col("tool_kind") == "builtin", "tool_use").otherwise("tool_result").alias("type"), F.col("input").alias("tool_use_id"))
     return issues(rows).groupBy("code").agg(F.count("*").alias("n"))
+
+
+# Sessions as read: titles, visibility, roll-ups, trajectories, activity, typing errors.
+
+
+def _chat_archive(spark: SparkSession, d: str) -> Archive:
+    """Conversations as an archive: a session each, a message and a text block for each turn.
+    Of every sixth session all texts are a command's, and every third has users only."""
+    c = ad.chat_messages(spark, d)
+    odd, quiet = F.col("session_id") % 6 == 0, F.col("session_id") % 3 == 0
+    c = c.withColumn("role", F.when(quiet, "user").otherwise(F.col("role"))).withColumn("text", F.when(odd, "<command-name>/exit").otherwise(F.col("text")))
+    at = F.date_format(F.timestamp_seconds("epoch"), ad.ISO)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    c = c.withColumn("seq", F.col("seq").cast("int")).withColumn("output_tokens", F.when(F.col("role") == "assistant", F.floor(size / 2)))
+    null = lambda ddl, have: [F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in ddl.split(", ") if f.split()[0] not in have]
+    fill = lambda df, ddl: schema.shaped(df.select("*", *null(ddl, df.columns)), ddl)
+    s = c.groupBy(F.col("session_id").alias("id")).agg(F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.min(at).alias("started_at"))
+    s = s.withColumn("tool", F.lit("claude_code")).withColumn("is_subagent", F.lit(False)).withColumn("title", F.when(F.col("id") % 2 == 0, "<local-command-caveat>").otherwise("Chat"))
+    s = s.withColumn("cost_in_nano", F.lit(0)).withColumn("cost_out_nano", F.col("output_tokens") * 25_000).withColumn("cost_nano", F.col("cost_out_nano"))
+    message = c.select("session_id", "seq", "role", "output_tokens", at.alias("timestamp"))
+    block = c.select("session_id", "seq", F.lit(0).alias("ordinal"), F.lit("text").alias("type"), "text")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return Archive(none(schema.PROJECT), fill(s, schema.SESSION), fill(message, schema.MESSAGE), fill(block, schema.BLOCK), none(schema.TOOL_CALL), none(schema.FILE_REF), none(schema.ISSUE), none(schema.USER_STATE))
+
+
+CHAT = """, ca AS (SELECT session_id, seq, epoch, CASE WHEN session_id % 3 = 0 THEN 'user' ELSE role END AS role, CASE WHEN session_id % 6 = 0 THEN '<command-name>/exit' ELSE text END AS text,
+    strftime(to_timestamp(epoch) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS said FROM chat),
+  cb AS (SELECT *, coalesce(strlen(text), 0) AS size, CASE WHEN role = 'assistant' THEN coalesce(strlen(text), 0) // 2 END AS out FROM ca)"""
+
+
+@query(
+    f"""{CHAT}, r AS (SELECT session_id, seq, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM cb WHERE role = 'user' AND NOT starts_with(text, '<command-name>')),
+    f AS (SELECT session_id, min_by(t, seq) AS t FROM r WHERE t <> '' GROUP BY 1)
+    SELECT s AS id, coalesce(CASE WHEN length(t) > 180 THEN left(t, 180) || '…' ELSE t END, CASE WHEN s % 2 = 1 THEN 'Chat' END) AS title FROM (SELECT DISTINCT session_id AS s FROM cb) LEFT JOIN f ON session_id = s""",
+    ("chat",),
+)
+def session_titles(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation is called: the first text of a user's own."""
+    a = _chat_archive(spark, d)
+    return sessions.display_titles(a.session, a.message, a.block)
+
+
+@query(
+    f"""{CHAT} SELECT session_id AS id FROM cb WHERE session_id % 2 = 0 GROUP BY 1
+    HAVING sum(coalesce(out, 0)) = 0 AND count(*) FILTER (role = 'assistant') = 0 AND count(*) FILTER (role = 'user' AND trim(text) <> '' AND NOT starts_with(text, '<command-name>')) = 0""",
+    ("chat",),
+)
+def local_command_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations that nobody but a local command has had."""
+    a = _chat_archive(spark, d)
+    return sessions.wrapper_only(a.session, a.message, a.block)
+
+
+@query(
+    f"""{CHAT}, fine AS (SELECT session_id FROM cb WHERE trim(text) <> '' AND NOT starts_with(text, '<command-name>') GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0),
+    o AS (SELECT session_id, role, text AS content, said AS timestamp, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM cb WHERE session_id IN (FROM fine) AND trim(text) <> '' AND role IN ('user', 'assistant') AND NOT (role = 'user' AND starts_with(text, '<command-name>')))
+    SELECT session_id, n, role, content, timestamp FROM o UNION ALL SELECT session_id, 0, 'meta', NULL, NULL FROM fine""",
+    ("chat",),
+)
+def trajectory_records(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as trajectories."""
+    a = _chat_archive(spark, d)
+    return trajectory.trajectories(a.session, a.message, a.block)[0].select("session_id", F.col("n").cast("long").alias("n"), "role", "content", "timestamp")
+
+
+@query(
+    f"""{CHAT}, g AS (SELECT *, least(greatest((epoch - lag(epoch) OVER (PARTITION BY session_id ORDER BY seq)) * 1000, 0), 300000) AS ms FROM cb),
+    r AS (SELECT session_id, coalesce(sum(out), 0)::DOUBLE AS generation, coalesce(sum(CASE WHEN role <> 'user' THEN ms END), 0)::DOUBLE AS ms, coalesce(sum(CASE WHEN role = 'user' THEN ms END), 0)::DOUBLE AS waiting_ms FROM g GROUP BY 1)
+    SELECT session_id, 'communicating' AS bucket, generation, generation AS generation_o, ms, waiting_ms FROM r WHERE generation > 0 OR ms > 0""",
+    ("chat",),
+)
+def session_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and time of each conversation by what they went into."""
+    rows, summary = activity.activity(_chat_archive(spark, d))
+    return rows.join(summary.select("session_id", "waiting_ms"), "session_id").where("generation > 0 OR ms > 0").select("session_id", "bucket", "generation", "generation_o", "ms", "waiting_ms")
+
+
+@query("SELECT ancestor_id AS id, count(*) - 1 AS subagents, sum(s.cost_nano)::BIGINT AS all_nano, any_value(a.cost_nano)::BIGINT AS own_nano FROM closure JOIN session s ON s.id = descendant_id JOIN session a ON a.id = ancestor_id GROUP BY 1", ("ev", "session", "closure"))
+def session_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """Each session's cost with all under it."""
+    return sessions.rollups(ad.event_sessions(spark, d))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS id, lower(p_name) AS t FROM part),
+    w AS (SELECT DISTINCT id, unnest(string_split_regex(t, '[^a-z0-9]+')) AS v FROM t),
+    q AS (SELECT unnest(['bolt', 'lareg']) AS q)
+    SELECT id FROM (SELECT id, q FROM t, q WHERE contains(t, q) UNION SELECT id, q FROM w, q WHERE v <> '' AND damerau_levenshtein(v, q) <= 1) GROUP BY id HAVING count(*) = 2"""
+)
+def fuzzy_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose name holds both words, one of them misspelled."""
+    names = ad.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return fuzzy.fuzzy_titles(names, "bolt lareg").select("id")
+
+
+@query(
+    """WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(lower(role), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS b FROM conversations),
+    h AS (SELECT id, len(a) + len(b) AS length, len(list_filter(a, lambda x: x = 'the')) * 4.0 + len(list_filter(b, lambda x: x = 'the')) * 2.0 AS ta, len(list_filter(a, lambda x: starts_with(x, 'us'))) * 4.0 + len(list_filter(b, lambda x: starts_with(x, 'us'))) * 2.0 AS tb FROM t),
+    n AS (SELECT count(*) AS n, avg(length) AS mean FROM h WHERE length > 0), df AS (SELECT count(*) FILTER (ta > 0) AS da, count(*) FILTER (tb > 0) AS db FROM h),
+    s AS (SELECT id, ta, tb, CASE WHEN ln((n - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - da + 0.5) / (da + 0.5)) END AS ia, CASE WHEN ln((n - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - db + 0.5) / (db + 0.5)) END AS ib,
+      1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean) AS k FROM h, n, df WHERE ta > 0 AND tb > 0)
+    SELECT id AS block_id, round(-(ia * ta * 2.2::DOUBLE / (ta + k) + ib * tb * 2.2::DOUBLE / (tb + k)), 6) AS score FROM s ORDER BY score, block_id LIMIT 100"""
+)
+def bm25_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Terms in several columns, each with its weight."""
+    c = ad.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("block_id"), "text", F.col("role").alias("tool_name"), F.lit(None).cast("string").alias("tool_input"))
+    return search.bm25(search.postings(c, search.WEIGHTS), "the us")
