@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
@@ -31,9 +32,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
         self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+" if spaces else f"[^{_SPACE}]+").findall
-        # A piece that begins with white space and ends with a word can follow another one.
-        self.follows = re.compile(f"[{_SPACE}].*[^{_SPACE}]", re.S).fullmatch
+        self.is_space = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c)).__contains__
         self.cache: dict[str, bytes] = {}
+        self.sizes: np.ndarray | None = None
 
     def encode(self, texts: list[str | None]):
         """Yield the ids of each text (null: none)."""
@@ -60,9 +61,10 @@ class Encoder:
     def _add(self, new: list[str]):
         alone, rest = [], new
         if self.spaces:
-            rest = []
-            for x in new:
-                (rest if self.follows(x) else alone).append(x)
+            # A piece that begins with white space and ends with a word can follow another one.
+            space = self.is_space
+            rest = [x for x in new if space(x[0]) and not space(x[-1])]
+            alone = [x for x in new if not space(x[0]) or space(x[-1])]
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -71,9 +73,11 @@ class Encoder:
         for at in range(0, len(groups), 64):
             part = groups[at : at + 64]
             texts = [("" if self.spaces else " ").join(g) for g in part]
+            if self.spaces and self._add_by_bytes(part, texts):
+                continue
             for group, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4").tobytes()
-                starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids) // 4)
+                starts = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(ids) // 4)
                 sizes = np.fromiter(map(len, group), np.int64, len(group)) + (not self.spaces)
                 cuts = [*(4 * np.searchsorted(starts, np.cumsum(sizes)[:-1])).tolist(), len(ids)]
                 a = 0
@@ -82,6 +86,33 @@ class Encoder:
                     a = b
 
 
+    def _add_by_bytes(self, groups: list[list[str]], texts: list[str]) -> bool:
+        """Where every token stands for as many bytes as its name has letters, pieces are told
+        apart without asking for offsets.  False, and nothing added, where that doesn't add
+        up."""
+        if self.sizes is None:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+            for name, i in vocabulary.items():
+                self.sizes[i] = len(name)
+            for i, token in self.tokenizer.get_added_tokens_decoder().items():
+                self.sizes[i] = len(token.content.encode())
+        found = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, cuts = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter((len(x.encode()) for x in group), np.int64, len(group)))
+            at = np.searchsorted(ends, cuts)
+            if not len(ends) or at[-1] >= len(ends) or (ends[at] != cuts).any():
+                return False
+            found.append((ids.tobytes(), (4 * at + 4).tolist()))
+        for group, (ids, cuts) in zip(groups, found, strict=True):
+            a = 0
+            for x, b in zip(group, cuts, strict=True):
+                self.cache[x] = ids[a:b]
+                a = b
+        return True
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
