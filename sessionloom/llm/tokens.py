@@ -49,7 +49,7 @@ class Encoder:
 
     def _flush(self, held):
         cache = self.cache
-        new = [x for x in set().union(*held) if x not in cache]
+        new = list(set().union(*held).difference(cache))
         kept = max(0, CACHED - len(cache))
         self._add(new)
         get = cache.__getitem__
@@ -59,21 +59,26 @@ class Encoder:
             del cache[x]
 
     def _add(self, new: list[str]):
-        alone, rest = [], new
-        if self.spaces:
-            # A piece that begins with white space and ends with a word can follow another one.
-            space = self.is_space
-            rest = [x for x in new if space(x[0]) and not space(x[-1])]
-            alone = [x for x in new if not space(x[0]) or space(x[-1])]
+        if not self.spaces:
+            # Letters beyond ASCII may be changed before they are looked up.
+            self._add_groups([x for x in new if not x.isascii()], False)
+            self._add_groups([x for x in new if x.isascii()], True)
+            return
+        # A piece that begins with white space and ends with a word can follow another one.
+        space = self.is_space
+        alone = [x for x in new if not space(x[0]) or space(x[-1])]
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.cache[x] = np.array(e.ids, "<u4").tobytes()
+        self._add_groups([x for x in new if space(x[0]) and not space(x[-1])], True)
+
+    def _add_groups(self, rest: list[str], adds_up: bool):
         groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
         for at in range(0, len(groups), 64):
             part = groups[at : at + 64]
             texts = [("" if self.spaces else " ").join(g) for g in part]
-            if self.spaces and self._add_by_bytes(part, texts):
+            if adds_up and self._add_by_size(part, texts):
                 continue
             for group, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4").tobytes()
@@ -85,16 +90,15 @@ class Encoder:
                     self.cache[x] = ids[a:b]
                     a = b
 
-
-    def _add_by_bytes(self, groups: list[list[str]], texts: list[str]) -> bool:
-        """Where every token stands for as many bytes as its name has letters, pieces are told
-        apart without asking for offsets.  False, and nothing added, where that doesn't add
-        up."""
+    def _add_by_size(self, groups: list[list[str]], texts: list[str]) -> bool:
+        """Where every token stands for as many bytes as its name has letters (but for the mark
+        of a word's end), pieces are told apart without asking for offsets.  False, and
+        nothing added, where that doesn't add up."""
         if self.sizes is None:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
             for name, i in vocabulary.items():
-                self.sizes[i] = len(name)
+                self.sizes[i] = len(name if self.spaces else name.removesuffix("</w>"))
             for i, token in self.tokenizer.get_added_tokens_decoder().items():
                 self.sizes[i] = len(token.content.encode())
         found = []
