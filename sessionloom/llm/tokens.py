@@ -22,6 +22,15 @@ _TEXT_BATCH = 2_000_000
 _JOINED = 256
 
 
+_word = re.compile(f"[^{_SPACE}]+").findall
+#: Python takes these four for white space, the tokenizers don't.
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+
+
+def _words(text: str) -> list[str]:
+    return _word(text) if _SEPARATORS(text) else text.split()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -31,7 +40,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
-        self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+" if spaces else f"[^{_SPACE}]+").findall
+        self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall if spaces else _words
         self.is_space = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c)).__contains__
         self.cache: dict[str, bytes] = {}
         self.sizes: np.ndarray | None = None
