@@ -11,7 +11,7 @@ from sessionloom import adapters as ad
 from sessionloom.functions import commands
 from sessionloom.functions.cost import usd
 from sessionloom import schema
-from sessionloom.operators import activity, context, distill, economics, fuzzy, lineage, search, sessions, signals, stats, trajectory
+from sessionloom.operators import activity, context, distill, economics, fuzzy, lineage, reads, search, sessions, signals, stats, trajectory
 from sessionloom.schema import Archive
 
 QUERIES = {}
@@ -528,6 +528,12 @@ def linkage_issues(spark: SparkSession, d: str) -> DataFrame:
 # Sessions as read: titles, visibility, roll-ups, trajectories, activity, typing errors.
 
 
+def _filled(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a schema; those that aren't there are null."""
+    null = [F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in ddl.split(", ") if f.split()[0] not in df.columns]
+    return schema.shaped(df.select("*", *null), ddl)
+
+
 def _chat_archive(spark: SparkSession, d: str) -> Archive:
     """Conversations as an archive: a session each, a message and a text block for each turn.
     Of every sixth session all texts are a command's, and every third has users only."""
@@ -537,15 +543,13 @@ def _chat_archive(spark: SparkSession, d: str) -> Archive:
     at = F.date_format(F.timestamp_seconds("epoch"), ad.ISO)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     c = c.withColumn("seq", F.col("seq").cast("int")).withColumn("output_tokens", F.when(F.col("role") == "assistant", F.floor(size / 2)))
-    null = lambda ddl, have: [F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in ddl.split(", ") if f.split()[0] not in have]
-    fill = lambda df, ddl: schema.shaped(df.select("*", *null(ddl, df.columns)), ddl)
     s = c.groupBy(F.col("session_id").alias("id")).agg(F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.min(at).alias("started_at"))
     s = s.withColumn("tool", F.lit("claude_code")).withColumn("is_subagent", F.lit(False)).withColumn("title", F.when(F.col("id") % 2 == 0, "<local-command-caveat>").otherwise("Chat"))
     s = s.withColumn("cost_in_nano", F.lit(0)).withColumn("cost_out_nano", F.col("output_tokens") * 25_000).withColumn("cost_nano", F.col("cost_out_nano"))
     message = c.select("session_id", "seq", "role", "output_tokens", at.alias("timestamp"))
     block = c.select("session_id", "seq", F.lit(0).alias("ordinal"), F.lit("text").alias("type"), "text")
     none = lambda ddl: spark.createDataFrame([], ddl)
-    return Archive(none(schema.PROJECT), fill(s, schema.SESSION), fill(message, schema.MESSAGE), fill(block, schema.BLOCK), none(schema.TOOL_CALL), none(schema.FILE_REF), none(schema.ISSUE), none(schema.USER_STATE))
+    return Archive(none(schema.PROJECT), _filled(s, schema.SESSION), _filled(message, schema.MESSAGE), _filled(block, schema.BLOCK), none(schema.TOOL_CALL), none(schema.FILE_REF), none(schema.ISSUE), none(schema.USER_STATE))
 
 
 CHAT = """, ca AS (SELECT session_id, seq, epoch, CASE WHEN session_id % 3 = 0 THEN 'user' ELSE role END AS role, CASE WHEN session_id % 6 = 0 THEN '<command-name>/exit' ELSE text END AS text,
@@ -630,3 +634,169 @@ def bm25_columns(spark: SparkSession, d: str) -> DataFrame:
     """Terms in several columns, each with its weight."""
     c = ad.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("block_id"), "text", F.col("role").alias("tool_name"), F.lit(None).cast("string").alias("tool_input"))
     return search.bm25(search.postings(c, search.WEIGHTS), "the us")
+
+
+# Reads of a part of an archive.
+
+
+def _event_archive(spark: SparkSession, d: str) -> Archive:
+    """Users' days as an archive: each event is a message and a call, errors are issues too, the
+    last two projects are worktrees of the first, and some days are deleted or archived."""
+    s = ad.event_sessions(spark, d).withColumn("title", F.concat(F.lit("Day "), F.col("day").cast("string"))).withColumn("source_path", F.col("source_session_id"))
+    calls = ad.event_tool_calls(spark, d)
+    message = calls.select("session_id", F.col("id").cast("int").alias("seq"), F.lit("tool").alias("role"))
+    odd = F.when(F.col("id") % 2 == 0, "unparsed_line").otherwise("orphan_tool_result")
+    issue = calls.where("tool_name = 'error'").select(F.concat(F.lit("u"), F.col("session_id").cast("string")).alias("source_path"), "session_id", odd.alias("code"))
+    project = ad.event_projects(spark, d).withColumn("is_worktree", F.col("id") >= 5).withColumn("root_path", F.when(F.col("id") >= 5, "/work/p0"))
+    states = ad.event_states(spark, d).join(s.select("id", "tool", "source_session_id"), "id")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return Archive(_filled(project, schema.PROJECT), _filled(s, schema.SESSION), _filled(message, schema.MESSAGE), none(schema.BLOCK), _filled(calls, schema.TOOL_CALL), none(schema.FILE_REF), _filled(issue, schema.ISSUE), _filled(states, schema.USER_STATE))
+
+
+def _order_archive(spark: SparkSession, d: str) -> Archive:
+    """Orders as sessions, their line items as file references."""
+    o = ad.table(spark, d, "orders")
+    s = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "claude_code").otherwise("codex").alias("tool"), (F.col("o_custkey") % 8).alias("project_id"), F.date_format("o_orderdate", ad.ISO).alias("started_at"))
+    s = s.withColumn("is_subagent", F.lit(False)).withColumn("source_session_id", F.concat(F.lit("o"), F.col("id").cast("string")))
+    refs = ad.line_file_refs(spark, d).withColumn("rel_path", F.when(F.col("ext") != "md", F.split("path", "/")[1]))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return Archive(_filled(ad.event_projects(spark, d), schema.PROJECT), _filled(s, schema.SESSION), none(schema.MESSAGE), none(schema.BLOCK), none(schema.TOOL_CALL), _filled(refs, schema.FILE_REF), none(schema.ISSUE), none(schema.USER_STATE))
+
+
+SEEN = ("ev", "session", "closure", "state", "project", "tool_call")
+VISIBLE = """, vis AS (SELECT * FROM session WHERE id NOT IN (SELECT descendant_id FROM closure JOIN state ON state.id = ancestor_id)),
+  kept AS (SELECT * FROM session WHERE id NOT IN (SELECT descendant_id FROM closure JOIN state ON state.id = ancestor_id WHERE state = 'deleted'))"""
+
+
+@query(
+    f"""{VISIBLE}, kids AS (SELECT parent_session_id AS up, count(*) AS n, sum(cost_nano)::BIGINT AS nano FROM kept WHERE is_subagent GROUP BY 1),
+    bad AS (SELECT session_id, count(*) FILTER (event_id % 2 = 0) AS issues, count(*) FILTER (event_id % 2 = 1) AS remarks FROM ev WHERE event_type = 'error' GROUP BY 1),
+    c AS (SELECT ancestor_id, count(*) FILTER (depth = 0) AS direct, count(*) AS tree FROM closure JOIN tool_call t ON t.session_id = descendant_id WHERE mcp_server = 'srv0' AND depth <= 5 GROUP BY 1)
+    SELECT s.id, 'Day ' || day AS title, path AS project, started_at, cost_nano::BIGINT AS cost_nano, state AS user_state, EXISTS (SELECT 1 FROM closure l JOIN state x ON x.id = l.ancestor_id WHERE l.descendant_id = s.id AND x.state = 'archived') AS is_user_archived,
+      coalesce(kids.n, 0) AS subagents, coalesce(nano, 0) AS subagent_nano, coalesce(issues, 0) AS issues, coalesce(remarks, 0) AS remarks, coalesce(direct, 0) AS direct_calls, coalesce(tree, 0) AS tree_calls
+    FROM kept s LEFT JOIN project p ON p.id = project_id LEFT JOIN state ON state.id = s.id LEFT JOIN kids ON up = s.id LEFT JOIN bad ON bad.session_id = s.id LEFT JOIN c ON ancestor_id = s.id
+    WHERE NOT is_subagent AND tool = 'claude_code' AND substr(started_at, 1, 10) >= '2024-01-03' ORDER BY started_at DESC, s.id DESC LIMIT 100 OFFSET 20""",
+    SEEN,
+)
+def session_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a tool's sessions from a day on, archived ones too."""
+    scope = reads.Scope(date_from="2024-01-03", tool="claude_code", include_archived=True, include_subagents=False)
+    out = reads.session_page(_event_archive(spark, d), scope, 100, 20, ("srv0",))
+    return out.select("id", "title", "project", "started_at", "cost_nano", "user_state", "is_user_archived", "subagents", "subagent_nano", "issues", "remarks", "direct_calls", "tree_calls")
+
+
+@query(f"{VISIBLE} SELECT v.id, 'Day ' || day AS title, path AS project, tool, model, started_at FROM vis v LEFT JOIN project p ON p.id = project_id WHERE NOT is_subagent", SEEN)
+def session_index(spark: SparkSession, d: str) -> DataFrame:
+    return reads.session_index(_event_archive(spark, d))
+
+
+@query(
+    "SELECT DISTINCT ancestor_id AS id FROM closure JOIN session s ON s.id = descendant_id LEFT JOIN project p ON p.id = project_id WHERE contains(lower('Day ' || day), 'y 1') OR contains(path, 'y 1') OR contains(model, 'y 1') OR contains(tool, 'y 1')",
+    SEEN,
+)
+def sessions_containing(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that name a text or have a subagent below that does."""
+    a = _event_archive(spark, d)
+    return reads.containing(a.session, a.project, a.session.select("id", "title"), " Y 1")
+
+
+@query(
+    f"""{VISIBLE} SELECT p.id, p.path, count(v.id) FILTER (NOT is_subagent) AS sessions, round(coalesce(sum(cost_nano), 0)::DOUBLE / 1e9, 6) AS cost_usd, max(ended_at) AS last_active,
+    CASE WHEN p.id = 0 THEN 2 ELSE 0 END::BIGINT AS worktrees, coalesce(string_agg(DISTINCT tool, ',' ORDER BY tool), '') AS tools FROM project p LEFT JOIN vis v ON v.project_id = p.id GROUP BY 1, 2""",
+    SEEN,
+)
+def projects_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Projects by the sessions that are shown, with their worktrees."""
+    out = reads.projects(_event_archive(spark, d))
+    return out.select("id", "path", "sessions", "cost_usd", "last_active", "worktrees", F.array_join("tools", ",").alias("tools"))
+
+
+@query(
+    f"""{VISIBLE} SELECT t.id, t.session_id, 'Day ' || day AS session_title, path AS project, tool_name, input AS input_preview, duration_ms, timestamp FROM tool_call t JOIN vis v ON v.id = session_id LEFT JOIN project p ON p.id = project_id
+    WHERE mcp_server = 'srv1' AND path = '/work/p3' AND substr(timestamp, 1, 10) BETWEEN '2024-01-02' AND '2024-01-20' AND duration_ms >= 50 ORDER BY timestamp DESC, t.id DESC LIMIT 100""",
+    SEEN,
+)
+def call_page(spark: SparkSession, d: str) -> DataFrame:
+    """Slow calls to a server in a project within some days of their own."""
+    scope = reads.CallScope("2024-01-02", "2024-01-20", server="srv1", project="/work/p3", least_ms=50)
+    return reads.call_page(_event_archive(spark, d), scope, 500).select("id", "session_id", "session_title", "project", "tool_name", "input_preview", "duration_ms", "timestamp")
+
+
+@query(
+    f"""{VISIBLE}, c AS (SELECT t.* FROM tool_call t JOIN vis v ON v.id = session_id WHERE substr(timestamp, 1, 10) >= '2024-01-02')
+    SELECT {CALL_STATS}, round(count(*) FILTER (is_error)::DOUBLE / count(*) * 100, 6) AS error_pct, (SELECT tool_name FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_tool FROM c""",
+    SEEN,
+)
+def call_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of the sessions that are shown, from a day on."""
+    return reads.call_summary(_event_archive(spark, d), reads.CallScope("2024-01-02"))
+
+
+@query(f"SELECT session_id, tool_name, tool_kind, mcp_server, {CALL_STATS} FROM tool_call GROUP BY ALL", TC)
+def session_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Tools of each session's report."""
+    return reads.tool_summary(ad.event_tool_calls(spark, d))
+
+
+@query(
+    f"""{VISIBLE}, t AS (SELECT * FROM vis WHERE substr(started_at, 1, 10) = '2024-01-10') SELECT count(*) FILTER (NOT is_subagent) AS sessions, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens,
+    coalesce(sum(cache_read_tokens), 0)::BIGINT AS cache_read_tokens, coalesce(sum(cache_creation_tokens), 0)::BIGINT AS cache_creation_tokens, 0::BIGINT AS reasoning_tokens, 0::BIGINT AS reasoning_estimate, {USD},
+    (SELECT count(*) FROM ev JOIN t ON t.id = session_id) AS messages, (SELECT count(*) FROM ev JOIN t ON t.id = session_id) AS tool_calls FROM t""",
+    SEEN,
+)
+def day_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader of that day sees of it."""
+    return reads.day_totals(_event_archive(spark, d), "2024-01-10")
+
+
+@query("SELECT id, error_count, outcome FROM session", SE)
+def session_facets(spark: SparkSession, d: str) -> DataFrame:
+    return reads.facets(_event_archive(spark, d).session).select("id", "error_count", "outcome")
+
+
+REFS = """, r AS (SELECT f.*, CASE WHEN ext <> 'md' THEN split_part(path, '/', 2) ELSE path END AS key, o_custkey % 8 AS project_id, o_orderkey % 2 = 0 AS first_tool, o_orderdate FROM file_ref f JOIN orders ON o_orderkey = session_id),
+  k AS (SELECT r.* EXCLUDE (path), p.path AS project FROM r LEFT JOIN project p ON p.id = project_id)"""
+COUNTED = """count(*) FILTER (operation = 'read') AS reads, count(*) FILTER (operation = 'edit') AS edits, count(*) FILTER (operation = 'write') AS writes, count(*) FILTER (operation = 'delete') AS deletes"""
+
+
+@query(
+    f"""{REFS} SELECT key, project, {COUNTED}, count(DISTINCT session_id) AS sessions, max(timestamp) AS last_touch FROM k WHERE first_tool AND strftime(o_orderdate, '%Y-%m-%d') >= '1994-01-01' AND project_id <> 7
+    GROUP BY 1, 2 ORDER BY count(*) DESC, key, project NULLS FIRST LIMIT 200""",
+    ("file_ref", "project"),
+)
+def project_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """Files by project, of a tool's sessions from a day on whose project is known."""
+    a = _order_archive(spark, d)
+    a.session = a.session.where("project_id <> 7")
+    return reads.file_hotspots(a, scope=reads.Scope("1994-01-01", tool="claude_code"), limit=200)
+
+
+@query(
+    f"""{REFS} SELECT ext AS key, {COUNTED}, count(DISTINCT session_id) AS sessions, max(timestamp) AS last_touch FROM k WHERE project IS NULL AND operation IN ('edit') GROUP BY 1""",
+    ("file_ref", "project"),
+)
+def extension_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """Edits by extension in sessions without a project."""
+    return reads.file_hotspots(_order_archive(spark, d), "ext", "edit", reads.Scope(project="")).drop("project")
+
+
+@query(
+    f"""{REFS}, e AS (SELECT session_id, key, project, {COUNTED}, max(timestamp) AS last_touch, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, key, project NULLS FIRST) AS rank FROM k GROUP BY session_id, key, project) SELECT * FROM e WHERE rank <= 25""",
+    ("file_ref", "project"),
+)
+def session_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each session's report."""
+    return reads.hot_files(_order_archive(spark, d))
+
+
+@query(
+    """, n AS (SELECT DISTINCT mcp_server AS s, id % 3 AS k FROM tool_call WHERE mcp_server IS NOT NULL AND NOT (mcp_server = 'srv0' AND id % 3 > 0)),
+    l AS (SELECT CASE k WHEN 0 THEN s WHEN 1 THEN 'claude_ai_' || s ELSE 'plugin_' || s || '_' || s END AS mcp_server, 'Srv' || right(s, 1) AS name, CASE k WHEN 0 THEN 'local' WHEN 1 THEN 'connector' ELSE 'plugin' END AS origin FROM n)
+    SELECT mcp_server, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || origin || ')' ELSE name END AS label FROM l""",
+    TC,
+)
+def server_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Servers as registered in three ways, by names that tell them apart."""
+    t = ad.event_tool_calls(spark, d).where("NOT (mcp_server = 'srv0' AND id % 3 > 0)")
+    name = F.when(F.col("id") % 3 == 0, F.col("mcp_server")).when(F.col("id") % 3 == 1, F.concat(F.lit("claude_ai_"), "mcp_server")).otherwise(F.concat(F.lit("plugin_"), "mcp_server", F.lit("_"), "mcp_server"))
+    return reads.server_labels(t.select(name.alias("mcp_server")))
