@@ -107,8 +107,8 @@ def sessions_in(a: Archive, scope: Scope = Scope(), hidden: DataFrame | None = N
     return _seen(a, out.select(a.session.columns), _hidden(a, scope.include_archived) if hidden is None else hidden)
 
 
-def calls_in(a: Archive, scope: CallScope = CallScope()) -> DataFrame:
-    """The tool calls that a scope leaves, of sessions that are shown."""
+def calls_in(a: Archive, scope: CallScope = CallScope(), hidden: DataFrame | None = None) -> DataFrame:
+    """The tool calls that a scope leaves, of sessions that are shown; ``hidden`` as above."""
     calls, day = a.tool_call, F.substring("timestamp", 1, 10)
     tests = [
         (scope.tool, lambda x: V("tool_name") == x), (scope.server, lambda x: V("mcp_server") == x), (scope.session_id, lambda x: V("session_id") == x),
@@ -122,7 +122,7 @@ def calls_in(a: Archive, scope: CallScope = CallScope()) -> DataFrame:
     s = a.session if scope.session_id is None else a.session.where(V("id") == scope.session_id)
     if scope.project is not None:
         s = _of_project(s, a.project, scope.project).select(a.session.columns)
-    return calls.join(_seen(a, s, _hidden(a)).select(V("id").alias("session_id")), "session_id", "left_semi").select(a.tool_call.columns)
+    return calls.join(_seen(a, s, _hidden(a) if hidden is None else hidden).select(V("id").alias("session_id")), "session_id", "left_semi").select(a.tool_call.columns)
 
 
 # Lists.
@@ -255,7 +255,8 @@ def _each(refs: DataFrame, group: str) -> DataFrame:
     return refs.groupBy(key.alias("key"), project.alias("project"), "session_id").agg(*[F.count_if(V("operation") == op).alias(f"{op}s") for op in OPS], F.max("timestamp").alias("last_touch"))
 
 
-_MOST = [(V("reads") + V("edits") + V("writes") + V("deletes")).desc(), V("key").asc(), V("project").asc_nulls_first()]
+def _most() -> list[Column]:
+    return [(V("reads") + V("edits") + V("writes") + V("deletes")).desc(), V("key").asc(), V("project").asc_nulls_first()]
 
 
 def _with_project(refs: DataFrame, session: DataFrame, project: DataFrame) -> DataFrame:
@@ -269,14 +270,14 @@ def file_hotspots(a: Archive, group: str = "path", operation: str | None = None,
     refs = a.file_ref if operation is None else a.file_ref.where(V("operation") == operation)
     each = _each(_with_project(refs.select("session_id", "path", "rel_path", "ext", "operation", "timestamp"), sessions_in(a, scope), a.project), group)
     out = each.groupBy("key", "project").agg(*[F.sum(f"{op}s").alias(f"{op}s") for op in OPS], F.count("*").alias("sessions"), F.max("last_touch").alias("last_touch"))
-    return out.orderBy(*_MOST).limit(_limit(limit))
+    return out.orderBy(*_most()).limit(_limit(limit))
 
 
 def hot_files(a: Archive, session_id: int | None = None) -> DataFrame:
     """The files that a session (or each one) touched most."""
     refs = a.file_ref if session_id is None else a.file_ref.where(V("session_id") == session_id)
     each = _each(_with_project(refs, a.session, a.project), "path")
-    rank = F.row_number().over(W.partitionBy("session_id").orderBy(*_MOST))
+    rank = F.row_number().over(W.partitionBy("session_id").orderBy(*_most()))
     return each.withColumn("rank", rank).where(V("rank") <= HOT_FILES).select("session_id", "rank", "key", "project", *[f"{op}s" for op in OPS], "last_touch").orderBy("session_id", "rank")
 
 

@@ -11,7 +11,7 @@ from sessionloom import adapters as ad
 from sessionloom.functions import commands
 from sessionloom.functions.cost import usd
 from sessionloom import schema
-from sessionloom.operators import activity, context, distill, economics, fuzzy, lineage, reads, search, sessions, signals, stats, trajectory
+from sessionloom.operators import activity, context, distill, economics, export, fuzzy, lineage, reads, search, sessions, signals, stats, trajectory
 from sessionloom.schema import Archive
 
 QUERIES = {}
@@ -800,3 +800,36 @@ def server_labels(spark: SparkSession, d: str) -> DataFrame:
     t = ad.event_tool_calls(spark, d).where("NOT (mcp_server = 'srv0' AND id % 3 > 0)")
     name = F.when(F.col("id") % 3 == 0, F.col("mcp_server")).when(F.col("id") % 3 == 1, F.concat(F.lit("claude_ai_"), "mcp_server")).otherwise(F.concat(F.lit("plugin_"), "mcp_server", F.lit("_"), "mcp_server"))
     return reads.server_labels(t.select(name.alias("mcp_server")))
+
+
+# Documents.
+
+
+@query(
+    f"""{CHAT}, s AS (SELECT session_id, sum(coalesce(out, 0))::BIGINT * 25000 AS nano, min(said) AS began FROM cb GROUP BY 1),
+    r AS (SELECT session_id, min_by(trim(regexp_replace(text, '\\s+', ' ', 'g')), seq) AS t FROM cb WHERE role = 'user' AND trim(text) <> '' AND NOT starts_with(text, '<command-name>') GROUP BY 1),
+    h AS (SELECT s.*, (nano + 5000000) // 10000000 AS c, CASE WHEN t IS NOT NULL AND length(t) > 180 THEN left(t, 180) || '…' WHEN t IS NOT NULL THEN t WHEN session_id % 2 = 1 THEN 'Chat' ELSE 'chat' || session_id END AS title FROM s LEFT JOIN r USING (session_id))
+    SELECT session_id, -1 AS seq, -1 AS ordinal, '# ' || title || chr(10) || chr(10) || '- **tool:** claude_code' || chr(10) || '- **model:** ' || chr(10) || '- **messages:** 0' || chr(10) || '- **est. cost:** $' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || chr(10) || '- **started:** ' || began || chr(10) AS text FROM h
+    UNION ALL SELECT session_id, seq, -1, '## ' || upper(role) || chr(10) FROM cb UNION ALL SELECT session_id, seq, 0, text || chr(10) FROM cb WHERE text IS NOT NULL""",
+    ("chat",),
+)
+def markdown_export(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as Markdown, in the parts that are written."""
+    a = _chat_archive(spark, d)
+    s = a.session.withColumn("source_session_id", F.concat(F.lit("chat"), F.col("id").cast("string")))
+    return export.markdown(s, a.message, a.block)
+
+
+@query(
+    f"""WITH {_command_sql()} SELECT session_id, ordinal, CASE WHEN is_error THEN '# (errored in original run)' || chr(10) || '# ' || normalized WHEN starts_with(normalized, 'rm') THEN '# REVIEW: destructive (rm -rf)' || chr(10) || '# ' || normalized
+      WHEN starts_with(normalized, 'make') THEN 'mkdir -p "$(dirname ''build/' || ordinal || ''')"' || chr(10) || 'cat > ''build/' || ordinal || ''' <<''REPLAY_EOF''' || chr(10) || 'make build' || chr(10) || 'REPLAY_EOF' ELSE normalized END AS text
+    FROM (SELECT * REPLACE (is_error AND NOT starts_with(normalized, 'make') AS is_error) FROM ops)"""
+)
+def replay_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' commands as a script for each group of orders; builds are files that they write."""
+    c = _commands(spark, d)
+    writes = F.col("normalized").startswith("make")
+    text = F.to_json(F.when(writes, F.create_map(F.lit("file_path"), F.concat(F.lit("/w/build/"), F.col("ordinal").cast("string")), F.lit("content"), "normalized")).otherwise(F.create_map(F.lit("command"), "normalized")))
+    calls = c.select("session_id", F.col("ordinal").cast("int").alias("seq"), F.lit(0).alias("ordinal"), F.when(writes, "Write").otherwise("Bash").alias("tool_name"), text.alias("input"), "is_error")
+    session = c.select(F.col("session_id").alias("id")).distinct().withColumn("tool", F.lit("codex")).withColumn("title", F.lit(None).cast("string")).withColumn("cwd", F.lit("/w"))
+    return export.replay(session, calls, include_errors=True).where("seq >= 0").select("session_id", F.col("seq").cast("long").alias("ordinal"), "text")

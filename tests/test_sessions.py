@@ -137,7 +137,7 @@ def test_life_of_signals(spark):
     old = state(("a", "open", None, 2.0), ("b", "open", None, 1.0), ("c", "implemented", "user", 1.0), ("d", "open", "user", 1.0), ("e", "implemented", "activity", 1.0))
     after = lambda df: {r.key: (r.status, r.resolution) for r in df.collect()}
     assert after(signals.regenerate(old, now))["b"] == ("implemented", "activity")
-    assert after(signals.after_hiding(old, now)) == {"a": ("open", None), "c": ("implemented", "user"), "d": ("implemented", "activity"), "e": ("implemented", "activity")} or "b" not in after(signals.after_hiding(old, now))
+    assert after(signals.after_hiding(old, now)) == {"a": ("open", None), "c": ("implemented", "user"), "d": ("implemented", "activity"), "e": ("implemented", "activity")}
     moved = signals.migrated(state(("old", "implemented", "user", 1.0), ("new", "open", None, 3.0), ("x", "open", None, 1.0)), spark.createDataFrame([("old", "new")], "old_key string, key string"))
     assert after(moved) == {"new": ("implemented", "user"), "x": ("open", None)}
     marked = signals.mark_implemented(old, "a")
