@@ -125,10 +125,27 @@ def _any(conditions) -> Column:
     return out
 
 
-def with_cost(df: DataFrame, model: str = "model") -> DataFrame:
+RATES = ("p_input", "p_output", "p_read", "p_write", "p_write_1h")
+SEED = "seed"
+
+
+def upsert_prices(stored: DataFrame, seeds: DataFrame) -> DataFrame:
+    """A kept price table ``(price_model, rates, source)`` after new prices have come: they are
+    added, and take the place of those that came so before (``source`` is ``seed``).  Prices
+    that a user has set stay, and so do old models'."""
+    columns = ["price_model", *RATES, "source"]
+    own = stored.where(~F.col("source").eqNullSafe(SEED)).select(columns)
+    new = seeds.select("price_model", *RATES, F.lit(SEED).alias("source")).dropDuplicates(["price_model"]).join(own.select("price_model"), "price_model", "left_anti").select(columns)
+    old = stored.where(F.col("source") == SEED).join(new.select("price_model"), "price_model", "left_anti").select(columns)
+    return own.unionByName(new).unionByName(old)
+
+
+def with_cost(df: DataFrame, model: str = "model", table: DataFrame | None = None) -> DataFrame:
     """``df`` with cost_in_nano (input and cache), cost_out_nano and cost_nano of its token
-    columns; 0 for unknown models.  The hour's part of cache writes stays within them."""
-    joined = df.withColumn("_price", price_model(F.col(model))).join(F.broadcast(prices(df.sparkSession)), F.col("_price") == F.col("price_model"), "left")
+    columns; 0 for unknown models.  The hour's part of cache writes stays within them.
+    ``table`` is a kept price table, one row a model; without one the prices known here."""
+    rates = F.broadcast(prices(df.sparkSession)) if table is None else table.select("price_model", *RATES)
+    joined = df.withColumn("_price", price_model(F.col(model))).join(rates, F.col("_price") == F.col("price_model"), "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     hour = F.least(F.greatest(n("cache_creation_1h_tokens"), F.lit(0)), n("cache_creation_tokens")) if "cache_creation_1h_tokens" in df.columns else F.lit(0)
     into = n("input_tokens") * F.col("p_input") + n("cache_read_tokens") * F.col("p_read") + (n("cache_creation_tokens") - hour) * F.col("p_write") + hour * F.col("p_write_1h")

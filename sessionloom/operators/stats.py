@@ -47,7 +47,7 @@ def tool_usage(tool_call: DataFrame, errors_only: bool = False, limit: int = 50)
 
 
 def mcp_usage(tool_call: DataFrame, limit: int = 50) -> DataFrame:
-    """Per server; pre-aggregated by tool so that one server's calls never meet unsummed."""
+    """Per server: its tools, calls, errors, percentiles of durations, last use."""
     out = tool_call.where("mcp_server IS NOT NULL").groupBy("mcp_server").agg(
         F.countDistinct("tool_name").alias("tools"), F.count("*").alias("calls"), F.count_if(F.col("is_error")).alias("errors"), nearest_rank("duration_ms", 0.5).alias("p50_ms"), nearest_rank("duration_ms", 0.95).alias("p95_ms"), F.max("timestamp").alias("last_used")
     )

@@ -295,6 +295,17 @@ def _last_of(x: Column) -> Column:
     return F.max_by(x, F.when(x.isNotNull(), V("line_no")))
 
 
+def effort_scan(spark: SparkSession, *paths: str) -> DataFrame:
+    """``(path, reasoning_effort, reasoning_effort_levels)`` of transcripts by that field alone:
+    only lines that can name it are parsed, and only they are put in order.  For archives
+    that were filled before the field was kept."""
+    found = lines(spark, *paths).where(V("raw").contains('"effort"') | V("raw").contains("\\u"))
+    v = F.try_parse_json("raw")
+    recs = found.select("path", "tool", "block_start", "row", v.alias("v")).where("v IS NOT NULL").withColumn("type", F.coalesce(text_at(V("v"), "$.type"), F.lit("")))
+    recs = recs.select(V("path").alias("session_id"), F.struct("block_start", "row").alias("line_no"), "tool", "type", "v")
+    return efforts(recs).withColumnRenamed("session_id", "path")
+
+
 def efforts(recs: DataFrame) -> DataFrame:
     """``(session_id, reasoning_effort, reasoning_effort_levels)``: the labels in the order in
     which they are met; several are ``mixed`` in short."""

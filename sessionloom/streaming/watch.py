@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionloom import ingest
+from sessionloom.config import Config, index_files, source_paths
 
 #: Seconds between two looks at the files.
 EVERY = 45
@@ -56,3 +57,12 @@ def refreshed(spark: SparkSession, path: str, *sources: str, sync: bool = True):
     if sync:
         ingest.sync(spark, path, *sources)
     return ingest.load(spark, path)
+
+
+def opened(spark: SparkSession, config: Config):
+    """The archive that a configuration names, synced before if it says so and there is
+    anything to read."""
+    paths = source_paths(spark, config) if config.sync else []
+    if paths:
+        ingest.sync(spark, config.archive, *paths, index_files=index_files(spark, config))
+    return ingest.load(spark, config.archive)

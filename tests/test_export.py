@@ -104,7 +104,12 @@ def test_trajectories(a, tmp_path):
 
 def test_long_sessions_are_cut_over_files(spark, tmp_path):
     parts = spark.range(20_000).select(F.floor(F.col("id") % 10 / 9).alias("session_id"), F.col("id").cast("int").alias("seq"), F.lit(0).alias("ordinal"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
-    export.write(parts, str(tmp_path))
+    # So few rows would be put together into one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export.write(parts, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "session_id=0").glob("part-*"))) > 1
     assert documents(tmp_path)[0].split("\n")[:-1] == [f"line {i}" for i in range(20_000) if i % 10 < 9]
 
