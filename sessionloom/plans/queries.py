@@ -11,7 +11,7 @@ from sessionloom import adapters as ad
 from sessionloom.functions import commands
 from sessionloom.functions.cost import usd
 from sessionloom import schema
-from sessionloom.operators import activity, context, distill, economics, export, fuzzy, lineage, reads, search, sessions, signals, stats, trajectory
+from sessionloom.operators import activity, context, distill, economics, enrich, export, fuzzy, lineage, reads, search, sessions, signals, stats, trajectory, user_state, worktree
 from sessionloom.schema import Archive
 
 QUERIES = {}
@@ -833,3 +833,126 @@ def replay_lines(spark: SparkSession, d: str) -> DataFrame:
     calls = c.select("session_id", F.col("ordinal").cast("int").alias("seq"), F.lit(0).alias("ordinal"), F.when(writes, "Write").otherwise("Bash").alias("tool_name"), text.alias("input"), "is_error")
     session = c.select(F.col("session_id").alias("id")).distinct().withColumn("tool", F.lit("codex")).withColumn("title", F.lit(None).cast("string")).withColumn("cwd", F.lit("/w"))
     return export.replay(session, calls, include_errors=True).where("seq >= 0").select("session_id", F.col("seq").cast("long").alias("ordinal"), "text")
+
+
+# What transcripts' rows say of sessions.
+
+
+def _talks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as messages, blocks and facts of messages: every ninth turn or so is an
+    interruption, and first turns begin with what is asked for."""
+    a = _chat_archive(spark, d)
+    no = F.lit(False)
+    message = a.message.withColumn("is_sidechain", no).withColumn("is_compact_summary", no)
+    asked = F.element_at(F.array(*[F.lit(t) for t in ASKED]), (F.col("session_id") % len(ASKED) + 1).cast("int"))
+    text = F.when((F.col("session_id") * 7 + F.col("seq")) % 9 == 0, enrich.INTERRUPTION + "]").when(F.col("seq") == 0, F.concat(asked, F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    block = a.block.withColumn("text", text)
+    return message, block, enrich.block_facts(block)
+
+
+ASKED = ("Fix: ", "please rename ", "Should we ", "Install ", "write a ", "", "errors2 ")
+TALK = f"""{CHAT}, tk AS (SELECT session_id, seq, role, epoch, (session_id * 7 + seq) % 9 = 0 AS cut, CASE WHEN seq = 0 THEN list_extract({list(ASKED)}, session_id % {len(ASKED)} + 1) || coalesce(text, '') ELSE coalesce(text, '') END AS t FROM cb),
+  tr AS (SELECT *, NOT cut AND NOT contains(t, '<command-name>') AND trim(t) <> '' AS is_real, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS nth, epoch - lag(epoch) OVER (PARTITION BY session_id ORDER BY seq) AS gap FROM tk)"""
+
+
+@query(
+    f"""{TALK} SELECT session_id, CASE WHEN bool_or(nth <= 3 AND cut) THEN 'abandoned' WHEN max_by(role, seq) FILTER (role IN ('user', 'assistant')) = 'user' THEN 'abandoned' WHEN bool_or(role IN ('user', 'assistant')) THEN 'completed' END AS outcome FROM tr GROUP BY 1""",
+    ("chat",),
+)
+def session_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How each conversation ended."""
+    message, _, facts = _talks(spark, d)
+    return enrich.outcomes(message, facts)
+
+
+@query(
+    f"""{TALK} SELECT session_id, count(*) FILTER (role = 'user' AND is_real) AS turn_count, count(*) FILTER (cut) AS interruption_count, count(*) FILTER (NOT cut AND contains(t, '<command-name>')) AS command_count,
+    coalesce(sum(CASE WHEN gap > 0 THEN least(gap, 300) END), 0)::BIGINT AS active_seconds FROM tr GROUP BY 1""",
+    ("chat",),
+)
+def session_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What happened in each conversation."""
+    message, _, facts = _talks(spark, d)
+    session = message.select(F.col("session_id").alias("id")).distinct().withColumn("is_subagent", F.lit(False))
+    return enrich.facets(message, facts, session).select("session_id", "turn_count", "interruption_count", "command_count", "active_seconds")
+
+
+def _work_sql() -> str:
+    kinds = []
+    for kind, keys in enrich.WORK_WORDS:
+        tests = [f"list_has_any(regexp_split_to_array(p, '[^\\p{{L}}\\p{{N}}]+'), {[k for k in keys if ' ' not in k]})", *[f"contains(p, '{k}')" for k in keys if " " in k]]
+        kinds.append(f"WHEN {' OR '.join(tests)} THEN '{kind}'")
+    return f"CASE {' '.join(kinds)} END"
+
+
+@query(
+    f"""{TALK}, w AS (SELECT session_id, substr(lower(min_by(substr(t, 1, 800), seq)), 1, 400) AS p FROM tr WHERE is_real AND role = 'user' GROUP BY 1)
+    SELECT s AS session_id, {_work_sql()} AS work_type FROM (SELECT DISTINCT session_id AS s FROM tr) LEFT JOIN w ON session_id = s""",
+    ("chat",),
+)
+def session_work_types(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation was for, by its first prompt."""
+    message, block, facts = _talks(spark, d)
+    return enrich.work_types(message, block, facts, spark.createDataFrame([], schema.FILE_REF))
+
+
+@query(
+    """WITH u AS (SELECT p_partkey % 500 AS session_id, p_partkey AS seq, p_partkey % 6 AS k, p_brand AS b FROM part)
+    SELECT session_id, seq, 0 AS nth, '/w/p/' || b || '/f' || seq || '.PY' AS path, b || '/f' || seq || '.PY' AS rel_path, 'py' AS ext, CASE k WHEN 0 THEN 'read' ELSE 'edit' END AS operation FROM u WHERE k IN (0, 3)
+    UNION ALL SELECT session_id, seq, 0, 'src/f' || seq, 'src/f' || seq, NULL, 'edit' FROM u WHERE k = 1 UNION ALL SELECT session_id, seq, 0, '/else/.f' || seq, NULL, NULL, 'write' FROM u WHERE k = 2
+    UNION ALL SELECT session_id, seq, 1, 'a' || seq || '.ts', 'a' || seq || '.ts', 'ts', 'write' FROM u WHERE k = 5 UNION ALL SELECT session_id, seq, 3, 'b c.rs', 'b c.rs', 'rs', 'delete' FROM u WHERE k = 5"""
+)
+def tool_file_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Files that tools' inputs name: by a field of theirs, or in a patch."""
+    p = ad.table(spark, d, "part").select((F.col("p_partkey") % 500).alias("session_id"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 6).alias("k"), "p_brand")
+    n = F.col("seq").cast("string")
+    inside = F.concat(F.lit("/w/p/"), "p_brand", F.lit("/f"), n, F.lit(".PY"))
+    given = lambda key, path: F.to_json(F.create_map(F.lit(key), path))
+    patch = F.concat(F.lit('"*** Begin Patch\\n*** Add File: a'), n, F.lit('.ts\\n+x\\n*** Delete File: b c.rs \\n*** End Patch"'))
+    path = F.when(F.col("k") == 0, given("file_path", inside)).when(F.col("k") == 1, given("file_path", F.concat(F.lit("src/f"), n))).when(F.col("k") == 2, given("file_path", F.concat(F.lit("/else/.f"), n)))
+    path = path.when(F.col("k") == 3, given("notebook_path", inside)).when(F.col("k") == 4, given("file_path", inside)).otherwise(patch)
+    name = F.element_at(F.array(*[F.lit(t) for t in ("Read", "Edit", "Write", "NotebookEdit", "Bash", "apply_patch")]), (F.col("k") + 1).cast("int"))
+    block = p.select("session_id", "seq", F.lit(0).alias("ordinal"), F.lit("tool_use").alias("type"), F.when(F.col("k") == 5, "codex").otherwise("claude_code").alias("tool"), name.alias("tool_name"), path.alias("tool_input"))
+    session = p.select(F.col("session_id").alias("id"), F.lit("/w/p/").alias("cwd")).distinct()
+    refs = enrich.file_refs(block, p.select("session_id", "seq", F.lit(None).cast("string").alias("timestamp")), session)
+    return refs.select("session_id", "seq", F.col("nth").cast("int").alias("nth"), "path", "rel_path", "ext", "operation")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey < 10 THEN 0 ELSE c_custkey % 4 + 1 END AS k, c_custkey % 10 AS r FROM customer)
+    SELECT id, k IN (2, 3, 4) AS is_worktree, CASE k WHEN 0 THEN '/w/root' || id WHEN 1 THEN '/w/solo' || id WHEN 4 THEN 'lone' || id ELSE '/w/root' || r END AS root_path, CASE k WHEN 2 THEN 'feat' || id WHEN 3 THEN 't3code-' || id END AS worktree_label,
+    CASE k WHEN 2 THEN 'git' WHEN 3 THEN 't3' WHEN 4 THEN 'conductor' END AS worktree_tool, CASE k WHEN 2 THEN 'intree' WHEN 3 THEN 'namematch' WHEN 4 THEN 'synthetic' ELSE 'self' END AS root_source FROM p"""
+)
+def worktree_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as projects: ten roots, others by themselves, copies inside of a root, copies in
+    a tool's folder that are named after a root, and such that are named after none."""
+    c = ad.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    n, r = F.col("id").cast("string"), (F.col("id") % 10).cast("string")
+    paths = [F.concat(F.lit("/w/solo"), n), F.concat(F.lit("/w/root"), r, F.lit("/.worktrees/feat"), n), F.concat(F.lit("/h/.t3-worktrees/root"), r, F.lit("-t3code-"), n), F.concat(F.lit("/h/conductor/workspaces/lone"), n, F.lit("/city"))]
+    path = F.when(F.col("id") < 10, F.concat(F.lit("/w/root"), n)).otherwise(F.element_at(F.array(*paths), (F.col("id") % 4 + 1).cast("int")))
+    session = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.date_format("o_orderdate", ad.ISO).alias("started_at"))
+    out = worktree.with_roots(c.withColumn("path", path), session)
+    return out.select("id", "is_worktree", "root_path", "worktree_label", "worktree_tool", "root_source")
+
+
+@query(
+    """SELECT id, CASE WHEN id % 2 = 0 THEN min(id) OVER (PARTITION BY user_id) ELSE id - 1 END AS parent_session_id FROM session QUALIFY is_subagent""",
+    SE,
+)
+def spawned_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Subagents' parents: the session that holds the use which spawned them, else their root."""
+    s = ad.event_sessions(spark, d)
+    root = F.when(F.col("is_subagent"), F.concat(F.lit("u"), (F.col("id") - 1).cast("string")))
+    use = F.when(F.col("is_subagent") & (F.col("id") % 2 == 0), F.concat(F.lit("use"), F.col("id").cast("string")))
+    s = s.withColumn("root_source_session_id", root).withColumn("spawn_tool_use_id", use)
+    first = s.groupBy("user_id").agg(F.min("id").alias("session_id"))
+    block = s.where("spawn_tool_use_id IS NOT NULL").join(first, "user_id").select("session_id", F.col("spawn_tool_use_id").alias("tool_use_id"), "tool")
+    block = block.withColumn("type", F.lit("tool_use")).withColumn("tool_name", F.lit("Task")).withColumn("seq", F.lit(0)).withColumn("ordinal", F.lit(0)).withColumn("tool_result", F.lit(None).cast("string"))
+    return enrich.with_parents(_filled(s, schema.SESSION), block).where("is_subagent").select("id", "parent_session_id")
+
+
+@query("SELECT DISTINCT descendant_id AS id FROM closure JOIN state ON state.id = ancestor_id WHERE state = 'deleted'", (*SE, "closure", "state"))
+def refused_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that come again though they, or one above them, were deleted."""
+    a = _event_archive(spark, d)
+    return user_state.inherit(a.session, a.block, a.user_state)[1].select("id")
