@@ -17,7 +17,7 @@ from sessionloom.functions.cost import is_priceable
 from sessionloom.functions.records import bool_at, int_at, is_object, iso_utc, json_text, list_at, millis_between, number_at, part, preview, preview_head_tail, text_at, trimmed
 from sessionloom.operators.context import asof_stamp
 from sessionloom.sources.manifest import local_path, stem, with_tool
-from sessionloom.staging import staged
+from sessionloom.staging import staged, unstage
 
 # Journal records of the first producer that are no messages.
 IGNORED = (
@@ -73,26 +73,39 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     return with_tool(at)
 
 
-def records(found: DataFrame) -> DataFrame:
-    """One row for each line that isn't blank: ``(path, tool, is_archived, line_no, raw, v, type,
-    seq, emitted, source_session_id, session_id)``.
-
-    ``v`` is null for lines that aren't JSON, whose ``raw`` is kept.  ``seq`` is the number of
-    messages of the file before the record and ``emitted`` how many it has itself.
-    """
-    order = W.partitionBy("path").orderBy("block_start", "row")
-    numbered = found.withColumn("line_no", F.row_number().over(order)).where(trimmed(V("raw")) != "")
-    v = V("v")
-    at = numbered.withColumn("v", F.try_parse_json("raw")).withColumn("type", F.coalesce(text_at(v, "$.type"), F.lit("")))
+def typed(found: DataFrame) -> DataFrame:
+    """Lines as what they say by themselves: ``(path, tool, is_archived, block_start, row, is_blank,
+    raw, v, type, emitted, own_id)``.  ``v`` is null for lines that aren't JSON, whose ``raw``
+    is kept; ``emitted`` is how many messages a line makes."""
+    v, empty = V("v"), trimmed(V("raw")) == ""
+    at = found.withColumn("is_blank", empty).withColumn("v", F.when(~empty, F.try_parse_json("raw"))).withColumn("type", F.coalesce(text_at(v, "$.type"), F.lit("")))
     first = F.when(V("type").isin("result", *TITLES, *IGNORED), 0).otherwise(1)
     second = F.when(V("type").isin("response_item", "compacted"), 1).when((V("type") == "event_msg") & _mcp_call(v), 2).otherwise(0)
-    at = at.withColumn("emitted", F.when(v.isNull(), 0).when(V("tool") == "codex", second).otherwise(first))
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    named = F.last(F.when((V("tool") == "codex") & (V("type") == "session_meta"), text_at(v, "$.payload.id")), ignorenulls=True).over(whole)
-    at = at.withColumn("seq", F.sum("emitted").over(so_far).cast("int") - V("emitted")).withColumn("source_session_id", F.coalesce(named, stem(V("path"))))
+    emitted = F.when(v.isNull(), 0).when(V("tool") == "codex", second).otherwise(first)
+    named = F.when((V("tool") == "codex") & (V("type") == "session_meta"), text_at(v, "$.payload.id"))
+    return at.select("path", "tool", "is_archived", "block_start", "row", "is_blank", F.when(v.isNull(), V("raw")).alias("raw"), "v", "type", emitted.alias("emitted"), named.alias("own_id"))
+
+
+def records(read: DataFrame) -> DataFrame:
+    """One row for each line that isn't blank: ``(path, tool, is_archived, line_no, raw, v, type,
+    seq, emitted, source_session_id, session_id)``; ``seq`` is the number of messages of the
+    file before the record.
+
+    ``read`` are staged rows of ``typed``.  Lines are numbered within their split of a file, and
+    one row for each split says what comes before it, so no task has more than a split,
+    however long a transcript is.  A split's lines have consecutive ``row``s."""
+    splits = read.groupBy("path", "block_start").agg(
+        F.min("row").alias("first_row"), F.count("*").alias("lines"), F.sum("emitted").alias("sent"), F.max_by("own_id", F.when(V("own_id").isNotNull(), V("row"))).alias("own_id")
+    )
+    order = W.partitionBy("path").orderBy("block_start")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    named = F.last("own_id", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    splits = splits.select("path", "block_start", "first_row", before("lines").alias("lines_before"), before("sent").alias("sent_before"), named.alias("named"))
+    here = W.partitionBy("path", "block_start").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = read.where("NOT is_blank").drop("own_id").withColumn("sent", F.sum("emitted").over(here) - V("emitted")).join(splits, ["path", "block_start"])
+    at = at.withColumn("source_session_id", F.coalesce("named", stem(V("path"))))
     return at.select(
-        "path", "tool", "is_archived", "line_no", F.when(v.isNull(), V("raw")).alias("raw"), "v", "type", "seq", "emitted", "source_session_id",
+        "path", "tool", "is_archived", (V("lines_before") + V("row") - V("first_row") + 1).cast("int").alias("line_no"), "raw", "v", "type", (V("sent_before") + V("sent")).cast("int").alias("seq"), "emitted", "source_session_id",
         F.xxhash64("tool", "source_session_id").alias("session_id"),
     )
 
@@ -465,7 +478,10 @@ def thread_titles(spark: SparkSession, *index_files: str) -> DataFrame:
 def parsed(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """The staged records of the transcripts, one file for each session, and ``(path,
     session_id)`` of every file that has a record."""
-    recs = staged(records(lines(spark, *paths)), "records")
+    # Files may grow while they are read: all numbers come from one reading.
+    read = staged(typed(lines(spark, *paths)), "lines")
+    recs = staged(records(read), "records")
+    unstage(read)
     files = staged(recs.select("path", "session_id").distinct(), "files")
     lost = superseded(recs)
     return (recs if lost.isEmpty() else staged(recs.join(lost, "path", "left_anti"), "records")), files

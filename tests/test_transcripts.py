@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 import transcripts_fixture as fx
 from sessionloom import ingest, schema
-from sessionloom.sources import manifest
+from sessionloom.sources import manifest, transcripts
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +138,29 @@ def test_listing_and_facts(spark, root):
     assert files["rollout-2.jsonl"].is_archived and files["rollout-1.jsonl"].tool == "codex"
     facts = {r.path.rsplit("/", 1)[-1]: r for r in manifest.content_facts(spark, str(root)).collect()}
     assert facts["wrapper.jsonl"].line_count == 2 and len(facts["wrapper.jsonl"].hash) == 64
+
+
+def test_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    said = [fx.user(f"text {i} " + "x" * (i % 40), fx.at(i)) for i in range(60)]
+    fx.write(tmp_path / "long.jsonl", said)
+    body = (tmp_path / "long.jsonl").read_text().split("\n")
+    (tmp_path / "long.jsonl").write_text("\n".join(x + ("\n  \nnot json" if i % 7 == 3 else "") for i, x in enumerate(body)))
+    turn = {"type": "response_item", "timestamp": fx.at(1), "payload": {"type": "message", "role": "user", "content": []}}
+    fx.write(tmp_path / "rollout-a.jsonl", [{"type": "session_meta", "payload": {"id": "one"}}, *[turn] * 40, {"type": "session_meta", "payload": {"id": "two"}}, turn])
+    whole = lambda: sorted(tuple(r) for r in transcripts.parsed(spark, str(tmp_path))[0].select("path", "line_no", "seq", "type", "raw", "emitted", "source_session_id").collect())
+    plain = whole()
+    for n, (line, x) in enumerate((k, t) for k, t in enumerate((tmp_path / "long.jsonl").read_text().split("\n"), 1) if t.strip()):
+        row = [r for r in plain if r[0].endswith("long.jsonl")][n]
+        assert row[1] == line and (row[4] is not None) == (x == "not json")
+    assert {r[6] for r in plain} == {"long", "two"}
+    seqs = [r[2] for r in plain if r[0].endswith("long.jsonl") and r[5]]
+    assert seqs == list(range(60))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = transcripts.lines(spark, str(tmp_path))
+        assert read.select("path", "block_start").distinct().count() > 10
+        assert whole() == plain
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
