@@ -5,7 +5,9 @@ NN-descent then joins every node with its neighbours and those it is a neighbour
 introduces them to each other (neighbours of neighbours), until few links change.  A query
 starts from its own node, if its vector is one, and a fixed number of pivots, and follows
 the graph: each round joins the best unexpanded nodes of
-every query with the graph and with the vectors, until its list is stable.
+every query with the graph and with the vectors, until its list is stable.  How long the
+lists must be depends on the vectors; a sample of the queries, whose nearest nodes are
+known by brute force, tells: the lists double until these are found.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from sessionloom.llm.common import ship, staged, unstage
 from sessionloom.llm.vectors import is_valid, matrix
 
 #: Neighbours of a node; trees and leaf size of the start.
-DEGREE, TREES, LEAF = 16, 4, 192
+DEGREE, TREES, LEAF = 24, 4, 192
 #: NN-descent ends after a round that renews no more than this share of the links.
 CHANGED = 0.01
 #: Members introduced to each other around a node, and introductions each one keeps.
-MEETING, KEPT = 32, 10
-#: Length of a query's list, nodes it expands in a round, and pivots.
-BEAM, EXPANDED, PIVOTS = 96, 12, 1024
+MEETING, KEPT = 48, 16
+#: Length of a query's list at first, nodes it expands in a round, and pivots.
+BEAM, EXPANDED, PIVOTS = 96, 48, 1024
 NEAREST = 10
+#: Queries whose nearest nodes are known by brute force, and the share of these to find.
+SAMPLE, RECALL = 128, 0.96
 
 
 def _tidy(spark) -> None:
@@ -61,26 +65,28 @@ def _closest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _introduce(groups: DataFrame, keep: int) -> DataFrame:
-    """``groups(ids, flat)`` of a few vectors each -> ``(node, other, dist)``: for each member
-    its nearest others in the group."""
+    """``groups(ids, flat, radii)`` of a few vectors each -> ``(node, other, dist)``: for each
+    member its nearest others in the group, if nearer than its radius."""
 
     def run(batches):
         for b in batches:
             held, size = [], 0
-            for ids, flat in zip(b.column(0), b.column(1), strict=True):
+            for ids, flat, radii in zip(*b.columns, strict=True):
                 ids = ids.values.to_numpy(zero_copy_only=False)
                 if len(ids) < 2:
                     continue
                 at, d = _closest(flat.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1), keep)
-                held.append((np.repeat(ids, at.shape[1]), ids[at].ravel(), d.ravel().astype(np.float32)))
-                size += at.size
+                d = d.astype(np.float32)
+                nearer = d < radii.values.to_numpy(zero_copy_only=False)[:, None]
+                held.append((np.repeat(ids, nearer.sum(axis=1)), ids[at[nearer]], d[nearer]))
+                size += len(held[-1][0])
                 if size > 200_000:
                     yield _best(held)
                     held, size = [], 0
             if held:
                 yield _best(held)
 
-    return groups.select("ids", "flat").mapInArrow(run, "node long, other long, dist float")
+    return groups.select("ids", "flat", "radii").mapInArrow(run, "node long, other long, dist float")
 
 
 def _best(held) -> pa.RecordBatch:
@@ -119,7 +125,7 @@ def _start(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     # A crowded side is dealt into groups of about LEAF.
     crowds = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
     dealt = coded.join(crowds, ["tree", "code"]).withColumn("chunk", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return dealt.groupBy("tree", "code", "chunk").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
+    return dealt.groupBy("tree", "code", "chunk").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"), F.collect_list(F.lit(float("inf")).cast("float")).alias("radii"))
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHANGED) -> DataFrame:
@@ -136,8 +142,11 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHA
         rank = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "other")))
         turned = turned.withColumn("rank", rank).where(f"rank <= {MEETING - degree}").drop("rank")
         around = graph.select("node", "other").union(turned.select("node", "other")).distinct()
-        met = around.join(nodes.select(F.col("node").alias("other"), "vec"), "other")
-        groups = met.groupBy("node").agg(F.collect_list("other").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
+        # What is no nearer than a node's farthest neighbour can't become one.
+        radius = graph.groupBy("node").agg(F.when(F.count("*") == degree, F.max("dist")).otherwise(float("inf")).cast("float").alias("radius"))
+        met = around.join(nodes.join(radius, "node", "left").select(F.col("node").alias("other"), "vec", F.coalesce("radius", F.lit(float("inf")).cast("float")).alias("radius")), "other")
+        met = met.groupBy("node").agg(F.collect_list(F.struct("other", "vec", "radius")).alias("x"))
+        groups = met.select("node", F.col("x.other").alias("ids"), F.flatten("x.vec").alias("flat"), F.col("x.radius").alias("radii"))
         known, met = graph.withColumn("fresh", F.lit(0)), _introduce(groups, KEPT).withColumn("fresh", F.lit(1))
         after = staged(_nearest_links(known.unionByName(met), degree), "ann-graph")
         unstage(graph)
@@ -147,15 +156,40 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHA
             return graph.drop("fresh")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, expanded: int = EXPANDED, pivots: int = PIVOTS) -> DataFrame:
+def _reach(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(query_id, reach, near)`` for a sample of the queries: the distance within which
+    their ``NEAREST + 1`` nearest nodes lie, by brute force, and how many these are."""
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("query_id", "vec").collect()
+    held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], np.float64)))
+
+    def run(batches):
+        ids, q = held.value
+        for b in batches:
+            x = matrix(b.column(0)).astype(np.float64)
+            for i in range(len(ids) if len(x) else 0):
+                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+                d = np.sort(np.partition(d, NEAREST)[: NEAREST + 1] if len(d) > NEAREST else d)
+                yield pa.record_batch([pa.array(np.full(len(d), ids[i])), pa.array(d)], ["query_id", "dist"])
+
+    near = nodes.select("vec").mapInArrow(run, "query_id long, dist double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("dist"))
+    return near.withColumn("rank", rank).where(f"rank <= {NEAREST + 1}").groupBy("query_id").agg(F.max("dist").alias("reach"), F.count("*").alias("near"))
+
+
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, expanded: int = EXPANDED, pivots: int = PIVOTS, recall: float = RECALL) -> DataFrame:
     """``queries(query_id, vec)`` -> ``(query_id, vec, found, dist)``: arrays of the nearest
-    nodes met, and their exact distances, nearest first."""
+    nodes met, and their exact distances, nearest first.
+
+    ``beam`` doubles until the sample's queries have met ``recall`` of their nearest nodes,
+    or every query has expanded all nodes that the graph leads it to.
+    """
     spark = queries.sparkSession
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots).select("node", "vec").collect()
     held = spark.sparkContext.broadcast((np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], np.float64)))
 
-    def merged(query, found, dist, done, ids, x):
-        """The list after new nodes, and the nodes to expand next."""
+    def merged(beam, query, found, dist, done, ids, x):
+        """The list after new nodes, and the nodes to expand next: only those within
+        ``beam``; the list goes on to twice that, for when it doubles."""
         d = np.sqrt(((x - query) ** 2).sum(axis=1))
         found, dist, done = np.concatenate([found, ids]), np.concatenate([dist, d]), np.concatenate([done, np.zeros(len(ids), bool)])
         order = np.lexsort((~done, found))
@@ -163,9 +197,9 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         new = np.ones(len(found), bool)
         new[1:] = found[1:] != found[:-1]
         found, dist, done = found[new], dist[new], done[new]
-        order = np.lexsort((found, dist))[:beam]
+        order = np.lexsort((found, dist))[: 2 * beam]
         found, dist, done = found[order], dist[order], done[order]
-        ahead = np.nonzero(~done)[0][:expanded]
+        ahead = np.nonzero(~done[:beam])[0][:expanded]
         done = done.copy()
         done[ahead] = True
         return found, dist, done, found[ahead]
@@ -185,20 +219,26 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
             for query_id, vec, own in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(2).to_pylist(), strict=True):
                 none, query = np.zeros(0), vec.astype(np.float64)
                 seeds = (ids, x) if own is None else (np.append(ids, own), np.vstack([x, query]))
-                rows.append((query_id, vec, *merged(query, none.astype(np.int64), none, none.astype(bool), *seeds)))
+                rows.append((query_id, vec, *merged(beam, query, none.astype(np.int64), none, none.astype(bool), *seeds)))
             if rows:
                 yield batch(rows)
 
-    def proceed(batches):
-        for b in batches:
-            rows = []
-            for r in range(b.num_rows):
-                vec, found, dist, done, ids, flat = (b.column(k)[r].values for k in range(1, 7))
-                vec, found, dist, ids, flat = (v.to_numpy(zero_copy_only=False) for v in (vec, found, dist, ids, flat))
-                done = np.array(done.to_pylist(), bool)
-                rows.append((b.column(0)[r].as_py(), vec, *merged(vec.astype(np.float64), found, dist, done, ids, flat.astype(np.float64).reshape(len(ids), len(vec)))))
-            if rows:
-                yield batch(rows)
+    def proceed(beam):
+        def run(batches):
+            for b in batches:
+                rows, size = [], 0
+                for r in range(b.num_rows):
+                    vec, found, dist, done, ids, flat = (b.column(k)[r].values for k in range(1, 7))
+                    vec, found, dist, done, ids, flat = (v.to_numpy(zero_copy_only=False) for v in (vec, found, dist, done, ids, flat))
+                    rows.append((b.column(0)[r].as_py(), vec, *merged(beam, vec.astype(np.float64), found, dist, done.astype(bool), ids, flat.astype(np.float64).reshape(len(ids), len(vec)))))
+                    size += len(rows[-1][2])
+                    if size > 200_000:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+        return run
 
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "dist")
     rank = F.row_number().over(W.partitionBy("node").orderBy("dist", "other"))
@@ -207,22 +247,34 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     ways = staged(ways, "ann-ways")
     begun = queries.select("query_id", "vec").join(nodes.select("vec", "node"), "vec", "left").select("query_id", "vec", "node")
     state = staged(begun.mapInArrow(begin, schema), "ann-search")
-    finished = []
+    reach = staged(_reach(queries, nodes), "ann-reach")
+    none = F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("flat")
+    kept = "query_id", "vec", "found", "dist", "done"
+    widened = False
     while True:  # a query expands a node once, so every query ends
         open_ = state.where("size(next) > 0")
-        finished.append(state.where("size(next) = 0"))
         if open_.isEmpty():
-            break
-        ahead = open_.select("query_id", F.explode("next").alias("node"), "found").join(ways, "node")
-        ahead = ahead.select("query_id", F.explode(F.array_except("others", "found")).alias("node")).distinct()
-        met = ahead.join(nodes.select("node", "vec"), "node").groupBy("query_id").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
-        none = F.array().cast("array<long>"), F.array().cast("array<float>")
-        told = open_.drop("next").join(met, "query_id", "left").select("query_id", "vec", "found", "dist", "done", F.coalesce("ids", none[0]).alias("ids"), F.coalesce("flat", none[1]).alias("flat"))
-        state = staged(told.mapInArrow(proceed, schema), "ann-search")
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionByName(more)
-    return out.select("query_id", "vec", "found", "dist")
+            if widened or _met(state, reach) >= recall:
+                break
+            beam, widened = 2 * beam, True
+            told = state.select(*kept, *none)
+        else:
+            widened = False
+            ahead = open_.select("query_id", F.explode("next").alias("node"), "found").join(ways, "node")
+            ahead = ahead.select("query_id", F.explode(F.array_except("others", "found")).alias("node")).distinct()
+            met = ahead.join(nodes.select("node", "vec"), "node").groupBy("query_id").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"))
+            told = state.select(*kept).join(met, "query_id", "left").select(*kept, F.coalesce("ids", none[0]).alias("ids"), F.coalesce("flat", none[1]).alias("flat"))
+        after = staged(told.mapInArrow(proceed(beam), schema), "ann-search")
+        unstage(state)
+        state = after
+    return state.select("query_id", "vec", "found", "dist")
+
+
+def _met(state: DataFrame, reach: DataFrame) -> float:
+    """The share of the sample's nearest nodes that its queries have met."""
+    within = F.size(F.filter("dist", lambda d: d <= F.col("reach") * (1 + 1e-12)))
+    met, near = state.join(F.broadcast(reach), "query_id").agg(F.sum(F.least(within, F.col("near"))), F.sum("near")).first()
+    return met / near if near else 1.0
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
@@ -236,7 +288,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     queries = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("vec"))
     queries = queries.where(is_query(F.col("query_id")) & is_valid(F.col("vec"))).dropDuplicates(["query_id"])
     found = search(queries, nodes, neighbour_graph(nodes), max(BEAM, k))
-    pairs = found.select("query_id", F.explode(F.arrays_zip("found", "dist")).alias("x")).select("query_id", F.col("x.found").alias("node"), F.col("x.dist").alias("score"))
+    pairs = found.select("query_id", F.explode(F.slice(F.arrays_zip("found", "dist"), 1, NEAREST + 1)).alias("x")).select("query_id", F.col("x.found").alias("node"), F.col("x.dist").alias("score"))
     named = pairs.join(nodes.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return named.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -439,6 +439,18 @@ def test_clusters_without_pivots(spark):
     assert len(out) == 60 and hits / 600 >= 0.95, hits
 
 
+def test_lists_grow_until_the_nearest_are_met(spark):
+    x = np.random.default_rng(11).standard_normal((1500, 48)).astype(np.float32)
+    nodes = ann.staged(ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")), "test-nodes")
+    asked = nodes.where("node % 10 = 0").select(nodes.node.alias("query_id"), "vec")
+    graph = ann.staged(ann.neighbour_graph(nodes, degree=4, changed=0.2).select("node", "other", "dist"), "test-graph")
+    hits = 0
+    for r in ann.search(asked, nodes, graph, beam=12, expanded=12, pivots=4).collect():
+        d = ((x.astype(float) - x[r.query_id]) ** 2).sum(axis=1)
+        hits += len(set(np.argsort(d)[1:11].tolist()) & set(r.found[1:11]))
+    assert hits / 1500 >= 0.93, hits
+
+
 def test_nearest_odd_input(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (100, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<float>, node int, dist string")
