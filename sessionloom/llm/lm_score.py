@@ -15,6 +15,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,18 +103,18 @@ def vocabulary(model_file: str):
     return sp, [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
 
 
-def words_of(text: str | None) -> list[str]:
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    return raw.decode("utf-8", "surrogatepass").translate(_SPACES).split(" ")
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words in UTF-8.  Bytes are split at the six ASCII white-space characters and
+    lower-cased in A-Z alone; str.split() and str.lower() would do more."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return raw.lower().split()
 
 
-#: Words end at ASCII white space only; str.split() would also split at others.
-_SPACES = dict.fromkeys(range(9, 14), " ")
-
-
-def short_name(word: str) -> str:
+def short_name(word: bytes) -> bytes:
     """The word, or a digest that no word equals (it begins with a space)."""
-    return word if len(word) < LONG_WORD else " " + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+    if len(word) < LONG_WORD or len(word.decode("utf-8", "replace")) < LONG_WORD:
+        return word
+    return b" " + hashlib.sha256(word).hexdigest().encode()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,10 +136,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(words, pa.string()), pa.array(c, pa.int64()), pa.array(total, pa.int64())], ["word", "c", "total"])
 
         for b in batches:
-            for text, held in zip(b.column(0), b.column(1), strict=True):
-                counts = rest if held.as_py() else train
-                counts.update([w for w in words_of(text.as_py()) if w])
-                counts[""] += 1
+            for text, held in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
+                counts = rest if held else train
+                counts.update(words_of(text.as_py()))
+                counts[b""] += 1
                 if len(train) + len(rest) > _FLUSH:
                     yield out()
                     train.clear()
@@ -201,7 +202,7 @@ def _by_text(docs: DataFrame, hot: list) -> DataFrame:
     """Sums over the hot words of each text, and its other words with their counts.
     ``hot`` has words by their ``short_name``."""
     held = docs.sparkSession.sparkContext.broadcast(
-        ({w: i for i, (w, _, _) in enumerate(hot)}, np.array([c for _, c, _ in hot], dtype=np.float64), np.array([p for _, _, p in hot]))
+        ({w.encode("utf-8", "surrogatepass"): i for i, (w, _, _) in enumerate(hot)}, np.array([c for _, c, _ in hot], dtype=np.float64), np.array([p for _, _, p in hot]))
     )
 
     def run(batches):
@@ -215,17 +216,20 @@ def _by_text(docs: DataFrame, hot: list) -> DataFrame:
             for start in range(0, len(doc_ids), 1000):
                 part = doc_ids[start : start + 1000]
                 rows, rare, times, ends = [], [], [], [0]
-                for text in b.column(1)[start : start + 1000].to_pylist():
+                for text in b.column(1)[start : start + 1000].cast(pa.binary()).to_pylist():
                     counts = Counter(words_of(text))
-                    counts[""] = 1  # also what is left of white space
+                    counts[b""] = 1
                     keys = list(counts)
                     n = np.fromiter(counts.values(), np.int64, len(keys))
-                    at = np.fromiter((get(k if len(k) < LONG_WORD else short_name(k), missing) for k in keys), np.int64, len(keys))
+                    at = np.fromiter(map(get, keys, repeat(missing)), np.int64, len(keys))
+                    for i in np.nonzero(at == missing)[0].tolist():
+                        if len(keys[i]) >= LONG_WORD:
+                            at[i] = get(short_name(keys[i]), missing)
                     out = np.nonzero(at == missing)[0].tolist()
                     rare += [keys[i] for i in out]
                     times += n[out].tolist()
                     ends.append(len(rare))
-                    rows.append((xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63), int(n.sum()), int(n[known[at]].sum()), float(n @ base[at]), float(n @ logp[at])))
+                    rows.append((xxhash.xxh64_intdigest(text or b"") - (1 << 63), int(n.sum()), int(n[known[at]].sum()), float(n @ base[at]), float(n @ logp[at])))
                 texts, sizes, knowns, bases, scores = zip(*rows, strict=True)
                 yield pa.record_batch(
                     [
