@@ -2,7 +2,10 @@
 
 Equal vectors are one node.  Random hyperplanes give the graph a start; each round of
 NN-descent then joins every node with its neighbours and those it is a neighbour of, and
-introduces them to each other (neighbours of neighbours), until few links change.  A query
+introduces them to each other (neighbours of neighbours), until few links change.  Alone
+that stops with links missing that no common neighbour tells of, the more the larger the
+table; so each round also introduces those that lie on the same side of new hyperplanes,
+and a search expands hardly more nodes of a large table than of a small one.  A query
 starts from its own node, if its vector is one, and a fixed number of pivots, and follows
 the graph: each round joins the best unexpanded nodes of
 every query with the graph and with the vectors, until its list is stable.  How long the
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import ship, staged, unstage
 from sessionloom.llm.vectors import is_valid, matrix
 
-#: Neighbours of a node; trees and leaf size of the start.
-DEGREE, TREES, LEAF = 24, 4, 192
+#: Neighbours of a node; trees of the start and of each round, and size of their leaves.
+DEGREE, TREES, LEAF = 24, 8, 1024
 #: NN-descent ends after a round that renews no more than this share of the links.
 CHANGED = 0.01
 #: Members introduced to each other around a node, and introductions each one keeps.
@@ -105,27 +108,36 @@ def _nearest_links(links: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(f"rank <= {k}").drop("rank")
 
 
-def _start(nodes: DataFrame, n: int, dim: int) -> DataFrame:
-    """Groups of vectors on the same side of random hyperplanes, for each tree."""
-    bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    planes = np.random.default_rng(7).standard_normal((TREES, bits, dim))
+def _centre(nodes: DataFrame, dim: int) -> np.ndarray:
     centre = nodes.select(*[F.avg(F.col("vec")[i]).alias(f"a{i}") for i in range(dim)]).first()
-    centre = np.array([x or 0.0 for x in centre])
+    return np.array([x or 0.0 for x in centre])
+
+
+def _codes(placed: DataFrame, n: int, centre: np.ndarray, turn: int) -> DataFrame:
+    """``placed(node, vec, radius)`` with the side of random hyperplanes it is on, for each
+    tree; each turn has planes of its own."""
+    bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
+    planes = np.random.default_rng((7, turn)).standard_normal((TREES if bits else 1, bits, len(centre)))
 
     def run(batches):
         for b in batches:
             x = matrix(b.column(1)).astype(np.float64) - centre
-            for tree in range(TREES):
+            for tree in range(len(planes)):
                 code = np.zeros(len(x), np.int64)
                 for plane in planes[tree]:
                     code = code * 2 + (x @ plane > 0)
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(x), tree, np.int32)), pa.array(code)], ["node", "vec", "tree", "code"])
+                yield pa.record_batch([*b.columns, pa.array(np.full(len(x), tree, np.int32)), pa.array(code)], ["node", "vec", "radius", "tree", "code"])
+
+    return staged(placed.select("node", "vec", "radius").mapInArrow(run, "node long, vec array<float>, radius float, tree int, code long"), "ann-codes")
+
 
-    coded = staged(nodes.select("node", "vec").mapInArrow(run, "node long, vec array<float>, tree int, code long"), "ann-codes")
+def _sides(coded: DataFrame, turn: int) -> DataFrame:
+    """Groups of vectors on the same side, for each tree."""
     # A crowded side is dealt into groups of about LEAF.
     crowds = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
-    dealt = coded.join(crowds, ["tree", "code"]).withColumn("chunk", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return dealt.groupBy("tree", "code", "chunk").agg(F.collect_list("node").alias("ids"), F.flatten(F.collect_list("vec")).alias("flat"), F.collect_list(F.lit(float("inf")).cast("float")).alias("radii"))
+    dealt = coded.join(crowds, ["tree", "code"]).withColumn("chunk", F.pmod(F.xxhash64("node", "tree", F.lit(turn)), F.col("parts")))
+    members = dealt.groupBy("tree", "code", "chunk").agg(F.collect_list(F.struct("node", "vec", "radius")).alias("x"))
+    return members.select(F.col("x.node").alias("ids"), F.flatten("x.vec").alias("flat"), F.col("x.radius").alias("radii"))
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHANGED) -> DataFrame:
@@ -134,25 +146,32 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHA
     first = nodes.select(F.size("vec").alias("dim")).first()
     if not n:
         return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).cast("float").alias("dist"))
-    graph = staged(_nearest_links(_introduce(_start(nodes, n, first[0]), degree).withColumn("fresh", F.lit(1)), degree), "ann-graph")
+    centre, anywhere, turn = _centre(nodes, first[0]), F.lit(float("inf")).cast("float"), 0
+    coded = _codes(nodes.withColumn("radius", anywhere), n, centre, turn)
+    graph = staged(_nearest_links(_introduce(_sides(coded, turn), degree).withColumn("fresh", F.lit(1)), degree), "ann-graph")
     while True:  # ends: links only get shorter
+        unstage(coded)
         _tidy(nodes.sparkSession)
+        turn += 1
         # Around each node: its neighbours, and as many that it is a neighbour of.
         turned = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "dist")
-        rank = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "other")))
+        rank = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "other", F.lit(turn))))
         turned = turned.withColumn("rank", rank).where(f"rank <= {MEETING - degree}").drop("rank")
         around = graph.select("node", "other").union(turned.select("node", "other")).distinct()
         # What is no nearer than a node's farthest neighbour can't become one.
         radius = graph.groupBy("node").agg(F.when(F.count("*") == degree, F.max("dist")).otherwise(float("inf")).cast("float").alias("radius"))
-        met = around.join(nodes.join(radius, "node", "left").select(F.col("node").alias("other"), "vec", F.coalesce("radius", F.lit(float("inf")).cast("float")).alias("radius")), "other")
+        placed = nodes.join(radius, "node", "left").select("node", "vec", F.coalesce("radius", anywhere).alias("radius"))
+        met = around.join(placed.withColumnRenamed("node", "other"), "other")
         met = met.groupBy("node").agg(F.collect_list(F.struct("other", "vec", "radius")).alias("x"))
         groups = met.select("node", F.col("x.other").alias("ids"), F.flatten("x.vec").alias("flat"), F.col("x.radius").alias("radii"))
-        known, met = graph.withColumn("fresh", F.lit(0)), _introduce(groups, KEPT).withColumn("fresh", F.lit(1))
+        coded = _codes(placed, n, centre, turn)
+        known, met = graph.withColumn("fresh", F.lit(0)), _introduce(groups, KEPT).unionByName(_introduce(_sides(coded, turn), KEPT)).withColumn("fresh", F.lit(1))
         after = staged(_nearest_links(known.unionByName(met), degree), "ann-graph")
         unstage(graph)
         graph = after
         links, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
         if fresh <= changed * links:
+            unstage(coded)
             return graph.drop("fresh")
 
 

@@ -464,6 +464,15 @@ def test_lists_grow_until_the_nearest_are_met(spark):
     assert hits / 1500 >= 0.93, hits
 
 
+def test_links_that_no_neighbour_tells_of(spark):
+    x = np.random.default_rng(13).standard_normal((4000, 48)).astype(np.float32)
+    nodes = ann.staged(ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")), "test-nodes")
+    near, _ = ann._closest(x, 8)
+    links = {(r.node, r.other) for r in ann.neighbour_graph(nodes, degree=8).collect()}
+    assert len(links) == 8 * 4000
+    assert len(links & {(i, j) for i, row in enumerate(near.tolist()) for j in row}) / len(links) >= 0.9
+
+
 def test_nearest_odd_input(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (100, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<float>, node int, dist string")
